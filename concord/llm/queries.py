@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from concord.llm import bpe, warc
+from concord.llm import bpe, chat, licenses, mixing, warc
 from concord.llm.common import read
+from concord.llm.license_rules import rules
 
 
 def vocabulary() -> tuple[str, str]:
@@ -14,6 +16,13 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    saying = F.lit("</s>[INST] ok [/INST]")
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), saying.alias("text"))
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.chat_digests(chat.chat_format(turns.unionByName(more)))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(read(spark, sf_dir, "documents"), *vocabulary())
 
@@ -22,9 +31,75 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op6_bpe": op6_bpe, "op7_warc": op7_warc}
+def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(read(spark, sf_dir, "documents"))
+
+
+def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_rows(mixing.mix_plan(read(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op1_chat": op1_chat, "op6_bpe": op6_bpe, "op7_warc": op7_warc, "op8_license": op8_license, "op9_mix": op9_mix}
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _rules_sql() -> str:
+    return ",\n".join(f"({i}, {_quoted(label)}, {sure}, {_quoted(' ' + key)}, {_quoted(pattern)})" for i, label, sure, key, pattern in rules())
+
 
 ORACLE_SQL = {
+    "op1_chat": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+u AS (
+  SELECT *, row_number() OVER w AS i, role IS DISTINCT FROM lag(role) OVER w AS head,
+    length(regexp_replace(text, '([<\[])(\\*)(\|[A-Za-z0-9_]+\|>|/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g')) AS n
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+r AS (SELECT *, CASE WHEN head THEN length('<|im_start|>') + length(role) + 1 + length('<|im_end|>') + 1 ELSE length('<|im_sep|>') END AS marks FROM u)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(marks + n) AS BIGINT) AS formatted_chars
+FROM r GROUP BY conv_id
+""",
+    "op8_license": r"""
+WITH rules(priority, label, confidence, keyword, pattern) AS (VALUES
+"""
+    + _rules_sql()
+    + r"""),
+d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_replace(' ' || translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || ' ', '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', '  ', 'g') AS norm
+  FROM documents),
+w AS (SELECT row, doc_id, norm, [x for x in string_split(norm, '  ') if x <> ''] AS words FROM d),
+places AS (
+  SELECT row, i - 1 AS place, CASE words[i] WHEN 'mit' THEN 'mit' WHEN 'apache' THEN 'apache' ELSE 'gpl' END AS label
+  FROM (SELECT row, words, unnest(range(1, len(words) + 1)) AS i FROM w WHERE contains(norm, ' license '))
+  WHERE (words[i] IN ('mit', 'apache') AND words[i + 1] = 'license') OR (words[i] = 'general' AND words[i + 1] = 'public' AND words[i + 2] = 'license')),
+base AS (SELECT row, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM places GROUP BY row),
+tried AS (
+  SELECT row, priority, label, confidence, string_split_regex(norm, pattern) AS gaps, regexp_extract_all(norm, pattern) AS hits
+  FROM w JOIN rules ON contains(norm, keyword)),
+found AS (
+  SELECT row, priority, label, confidence, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM tried WHERE len(hits) > 0),
+spans AS (
+  SELECT row, priority, label, confidence, start, start + length(hits[i]) AS stop
+  FROM (SELECT *, list_sum([length(x) for x in gaps[1:i]]) + coalesce(list_sum([length(x) for x in hits[1:i - 1]]), 0) AS start FROM found)),
+stay AS (
+  SELECT * FROM spans a WHERE NOT EXISTS (
+    SELECT 1 FROM spans b WHERE b.row = a.row AND b.priority < a.priority AND b.start <= a.start AND b.stop >= a.stop)),
+more AS (SELECT row, list(label) AS labels, max(confidence) AS score FROM stay GROUP BY row)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,
+  CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM w LEFT JOIN base USING (row) LEFT JOIN more USING (row)
+""",
     "op7_warc": """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
