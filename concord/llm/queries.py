@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import bpe, chat, licenses, mixing, warc
+from concord.llm import bpe, chat, licenses, mixing, quality, warc
 from concord.llm.common import read
 from concord.llm.license_rules import rules
 
@@ -23,6 +23,10 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.chat_format(turns.unionByName(more)))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_metrics(read(spark, sf_dir, "documents")).drop("n_lines")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(read(spark, sf_dir, "documents"), *vocabulary())
 
@@ -39,7 +43,7 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_rows(mixing.mix_plan(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_chat": op1_chat, "op6_bpe": op6_bpe, "op7_warc": op7_warc, "op8_license": op8_license, "op9_mix": op9_mix}
+QUERIES = {"op1_chat": op1_chat, "op3_quality": op3_quality, "op6_bpe": op6_bpe, "op7_warc": op7_warc, "op8_license": op8_license, "op9_mix": op9_mix}
 
 
 def _quoted(x: str) -> str:
@@ -50,6 +54,55 @@ def _rules_sql() -> str:
     return ",\n".join(f"({i}, {_quoted(label)}, {sure}, {_quoted(' ' + key)}, {_quoted(pattern)})" for i, label, sure, key, pattern in rules())
 
 
+def _quality_sql() -> str:
+    metrics = quality.METRICS
+    rows = ", ".join(f"({_quoted(m)}, {f.replace('div', '//')})" for m, (f, _, _) in metrics.items())
+    low = lambda q: f"CASE WHEN {q} < 64 THEN {q} ELSE ({q} - ({q} // 32 - 1) * 32) << CAST({q} // 32 - 1 AS INTEGER) END"
+
+    def quartiles(keys: str) -> str:
+        by = f"{keys}, " if keys else ""
+        group = f"GROUP BY {keys}" if keys else ""
+        at = lambda m, q: f"min(bucket) FILTER (metric = '{m}' AND up_to * 4 >= total * {q})"
+        fence = []
+        for m, (_, slack, _) in metrics.items():
+            q1, q3 = low(at(m, 1)), low(at(m, 3))
+            fence += [f"{q1} - ({quality.SPREAD} * ({q3} - {q1}) + {slack}) AS low_{m}", f"{q3} + {quality.SPREAD} * ({q3} - {q1}) + {slack} AS high_{m}"]
+        return f"""(SELECT {by}max(total) AS n, {", ".join(fence)} FROM (
+            SELECT {by}metric, bucket, sum(n) OVER (PARTITION BY {by}metric ORDER BY bucket) AS up_to, sum(n) OVER (PARTITION BY {by}metric) AS total
+            FROM (SELECT {by}metric, bucket, count(*) AS n FROM b GROUP BY {by}metric, bucket)) {group})"""
+
+    inside = []
+    for m, (f, _, lower) in metrics.items():
+        pick = lambda side, m=m: f"CASE WHEN o.n >= {quality.MIN_GROUP} THEN o.{side}_{m} WHEN l.n >= {quality.MIN_GROUP} THEN l.{side}_{m} ELSE a.{side}_{m} END"
+        v = f.replace("div", "//")
+        inside.append(f"coalesce({v} <= {pick('high')}, TRUE)")
+        if lower:
+            inside.append(f"coalesce({v} >= {pick('low')}, TRUE)")
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, [x for x in string_split(text, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines FROM d),
+g AS (SELECT row, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram FROM (SELECT row, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+h AS (SELECT row, i, count(*) OVER (PARTITION BY row, gram) AS n FROM g),
+r AS (SELECT row, count(DISTINCT i + k) AS n FROM h, (VALUES (0), (1), (2)) AS o(k) WHERE n > 1 GROUP BY row),
+c AS (
+  SELECT w.row, doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN r ON r.row = w.row),
+f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM c),
+v AS (SELECT lang, source, metric, value FROM f, LATERAL (VALUES {rows}) AS m(metric, value) WHERE NOT base_failed),
+b AS (
+  SELECT lang, source, metric, CASE WHEN value < 64 THEN value ELSE (length(bin(value)) - 6) * 32 + (value >> CAST(length(bin(value)) - 6 AS INTEGER)) END AS bucket FROM v),
+own AS {quartiles("lang, source")},
+of_lang AS {quartiles("lang")},
+of_all AS {quartiles("")}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(inside)} AS kept
+FROM f LEFT JOIN own o ON o.lang IS NOT DISTINCT FROM f.lang AND o.source IS NOT DISTINCT FROM f.source
+  LEFT JOIN of_lang l ON l.lang IS NOT DISTINCT FROM f.lang CROSS JOIN of_all a
+"""
+
+
 ORACLE_SQL = {
     "op1_chat": r"""
 WITH t AS (
@@ -100,6 +153,7 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_b
   CAST(coalesce(score, 0) AS DOUBLE) AS score
 FROM w LEFT JOIN base USING (row) LEFT JOIN more USING (row)
 """,
+    "op3_quality": _quality_sql(),
     "op7_warc": """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
