@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import bpe, chat, licenses, mixing, quality, warc
+from concord.llm import bpe, chat, licenses, linededup, mixing, quality, warc
 from concord.llm.common import read
 from concord.llm.license_rules import rules
 
@@ -43,7 +43,11 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_rows(mixing.mix_plan(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_chat": op1_chat, "op3_quality": op3_quality, "op6_bpe": op6_bpe, "op7_warc": op7_warc, "op8_license": op8_license, "op9_mix": op9_mix}
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_report(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_chat": op1_chat, "op3_quality": op3_quality, "op6_bpe": op6_bpe, "op7_warc": op7_warc, "op8_license": op8_license, "op9_mix": op9_mix, "op10_lines": op10_lines}
 
 
 def _quoted(x: str) -> str:
@@ -162,5 +166,24 @@ SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
   CASE WHEN k.kept > p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN k.kept > p.page_id THEN k.kept END AS refers_to
 FROM p LEFT JOIN k ON p.d = k.d AND p.n >= 1000
+""",
+    "op10_lines": r"""
+WITH e AS (
+  SELECT doc_id, i - 1 AS pos, lines[i] AS line
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))
+  WHERE len(regexp_extract_all(lines[i], '[^\x20\x09-\x0D]+')) >= 5),
+l AS (SELECT line, min((doc_id, pos)) AS first FROM e GROUP BY line),
+v AS (
+  SELECT line, first, p, hash(line[:p - 1] || line[p + 1:]) AS v
+  FROM (SELECT line, first, unnest(range(1, length(line) + 1)) AS p FROM l)),
+replaced AS (SELECT line, first > min(first) OVER (PARTITION BY p, v) AS late FROM v),
+longer AS (SELECT v.line, v.first AS first, l.line AS shorter, l.first AS other FROM v JOIN l ON hash(l.line) = v.v AND length(l.line) + 1 = length(v.line)),
+near AS (
+  SELECT line FROM replaced WHERE late UNION SELECT line FROM longer WHERE other < first UNION SELECT shorter FROM longer WHERE first < other),
+gone AS (
+  SELECT doc_id, list_sort(list_distinct(list(CAST(pos AS INTEGER)))) AS removed
+  FROM e JOIN l USING (line) WHERE (e.doc_id, e.pos) <> l.first OR line IN (SELECT line FROM near) GROUP BY doc_id)
+SELECT doc_id, max(len(string_split(coalesce(text, ''), chr(10)))) AS n_lines, coalesce(any_value(len(removed)), 0) AS n_removed, coalesce(any_value(removed), []) AS removed
+FROM documents LEFT JOIN gone USING (doc_id) GROUP BY doc_id
 """,
 }
