@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import bpe, chat, licenses, linededup, mixing, probminhash, quality, warc
+from concord.llm import bpe, chat, licenses, linededup, mixing, probminhash, quality, suffixtree, warc
 from concord.llm.common import read
 from concord.llm.license_rules import rules
 
@@ -23,6 +23,10 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.chat_format(turns.unionByName(more)))
 
 
+def op2_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.score(read(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_metrics(read(spark, sf_dir, "documents")).drop("n_lines")
 
@@ -51,7 +55,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op3_quality": op3_quality, "op4_neardup": op4_neardup, "op6_bpe": op6_bpe, "op7_warc": op7_warc, "op8_license": op8_license, "op9_mix": op9_mix, "op10_lines": op10_lines}
+QUERIES = {"op1_chat": op1_chat, "op2_score": op2_score, "op3_quality": op3_quality, "op4_neardup": op4_neardup, "op6_bpe": op6_bpe, "op7_warc": op7_warc, "op8_license": op8_license, "op9_mix": op9_mix, "op10_lines": op10_lines}
 
 
 def _quoted(x: str) -> str:
