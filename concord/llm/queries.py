@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.llm import bpe, chat, licenses, linededup, mixing, probminhash, quality, suffixtree, warc
+from concord.llm import bpe, chat, licenses, linededup, mixing, mtree, probminhash, quality, suffixtree, warc
 from concord.llm.common import read
 from concord.llm.license_rules import rules
 
@@ -35,6 +35,11 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return mtree.top_k(rows, rows.where(F.col("vec_id") % mtree.EVERY == 0))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(read(spark, sf_dir, "documents"), *vocabulary())
 
@@ -55,7 +60,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_score": op2_score, "op3_quality": op3_quality, "op4_neardup": op4_neardup, "op6_bpe": op6_bpe, "op7_warc": op7_warc, "op8_license": op8_license, "op9_mix": op9_mix, "op10_lines": op10_lines}
+QUERIES = {"op1_chat": op1_chat, "op2_score": op2_score, "op3_quality": op3_quality, "op4_neardup": op4_neardup, "op5_topk": op5_topk, "op6_bpe": op6_bpe, "op7_warc": op7_warc, "op8_license": op8_license, "op9_mix": op9_mix, "op10_lines": op10_lines}
 
 
 def _quoted(x: str) -> str:
@@ -166,6 +171,16 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_b
 FROM w LEFT JOIN base USING (row) LEFT JOIN more USING (row)
 """,
     "op3_quality": _quality_sql(),
+    "op5_topk": """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum([q.v[i] * c.v[i] for i in range(1, len(q.v) + 1)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+""",
     "op7_warc": """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),

@@ -1,12 +1,51 @@
-"""The corpus pipeline: documents through quality rules, line dedup, near-dedup, mixing and encoding."""
+"""The corpus pipeline: documents through quality rules, line dedup, near-dedup, mixing and encoding.
+
+Each stage takes what the one before kept, whole. All but the last return the columns of documents; the last returns
+doc_id, lang, source, n_tokens, ids (array of int) and decoded_sha256, of the bytes that the ids decode to.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from concord.llm import bpe, linededup, mixing, probminhash, quality
+from concord.llm.common import cut, read
+from concord.llm.queries import vocabulary
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.quality_filter(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return linededup.drop_repeated_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return probminhash.keep_one(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    path, pattern = vocabulary()
+    ids = bpe.bpe_encode(docs.select("doc_id", "lang", "source", "text"), path, pattern).drop("text")
+    decoded = bpe.bpe_decode(ids, path, pattern)
+    return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
-STAGES: list = []
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix", mix), ("encode", encode)]
+#: Near-dedup draws registers and mixing draws copies by hashes that SQL hasn't.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = read(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = cut(docs)
+    return docs
