@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -51,13 +52,28 @@ def fold_country(text: str) -> str:
 
 
 @pandas_udf(StringType())
-def _fold(texts: pd.Series) -> pd.Series:
-    return texts.map(fold)
+def _fold_other(texts: pd.Series) -> pd.Series:
+    return texts.map(fold, na_action="ignore")
 
 
 @pandas_udf(StringType())
-def _fold_country(texts: pd.Series) -> pd.Series:
-    return texts.map(fold_country)
+def _fold_other_country(texts: pd.Series) -> pd.Series:
+    return texts.map(fold_country, na_action="ignore")
+
+
+def _ascii_aside(text: Column, ascii_form: Column, other: Callable[[Column], Column]) -> Column:
+    """ASCII text is folded in the JVM; only other text is worked on in Python."""
+    is_ascii = text.rlike(r"^[\x00-\x7F]*$")
+    return F.when(is_ascii, ascii_form).otherwise(other(F.when(is_ascii, F.lit(None)).otherwise(text)))
+
+
+def _fold(text: Column) -> Column:
+    plain = F.regexp_replace(F.replace(F.lower(text), F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " ")
+    return _ascii_aside(text, F.trim(plain), _fold_other)
+
+
+def _fold_country(text: Column) -> Column:
+    return _ascii_aside(text, F.trim(F.regexp_replace(F.lower(text), r"[\x09-\x0D\x1C-\x20]+", " ")), _fold_other_country)
 
 
 def as_text(value: Column) -> Column:

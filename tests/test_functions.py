@@ -1,5 +1,6 @@
 """Normalisation, n-grams, MinHash and similarities against values worked by hand and plain Python."""
 
+import random
 import unicodedata
 
 import pytest
@@ -33,6 +34,14 @@ def test_country(spark):
     assert one(spark, normalize.country_key(F.col("a")), a=None) == ""
 
 
+def test_both_ways_of_folding_agree(spark):
+    rng = random.Random(1)
+    texts = ["".join(chr(rng.randrange(128)) for _ in range(rng.randrange(12))) for _ in range(400)] + ["É" + "a_b" * 3, "ß & ½", "", "\x1c x \x1f"]
+    frame = spark.createDataFrame([(t,) for t in texts], "a string")
+    for r in frame.select("a", normalize._fold(F.col("a")).alias("x"), normalize.country_key(F.col("a")).alias("y")).collect():
+        assert (r.x, r.y) == (normalize.fold(r.a), normalize.fold_country(r.a))
+
+
 @given(st.text(max_size=40))
 @settings(max_examples=200, deadline=None)
 def test_folding_is_stable(text):
