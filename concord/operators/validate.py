@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.operators.records import bad_id
@@ -68,6 +68,12 @@ def raise_if_any(report: DataFrame) -> None:
         raise ValueError("; ".join(f"{r.rule}: {r.key} {r.detail}".strip() for r in found))
 
 
+def header_violations(spark: SparkSession, found: list[str], wanted: list[str]) -> DataFrame:
+    """(rule, key, detail): a row if the columns aren't exactly those wanted."""
+    bad = [("header", ",".join(found), f"expected {','.join(wanted)}")] if found != wanted else []
+    return spark.createDataFrame(bad, "rule string, key string, detail string")
+
+
 def field_count_violations(lines: DataFrame, fields: int = 2) -> DataFrame:
     """(rule, key, detail) of raw lines (value) without exactly ``fields`` tab-separated fields."""
     n = F.size(F.split("value", "\t", -1))

@@ -9,7 +9,7 @@ from concord.operators import blocking, labels, matcher, results, tuning, valida
 from concord.operators.features import pair_features
 from concord.operators.idf import document_frequency, smoothed_idf
 from concord.operators.records import check_ids, exploded_candidates, keyed_records
-from concord.schema import BlockingConfig
+from concord.schema import CANDIDATE_COLUMNS, MATCH_COLUMNS, BlockingConfig
 from concord.sources import tsv
 
 
@@ -92,6 +92,10 @@ def accept(spark: SparkSession, root: str, candidates: str, matches: str) -> Dat
     """Report of all violations of the two list files of the test split."""
     records = tsv.load_split(spark, root, "test", normalize=False)
     raw = lambda p: validate.field_count_violations(spark.read.text(p))
+    head = lambda p, wanted: validate.header_violations(spark, tsv.header(spark, p), wanted)
+    heads = head(candidates, CANDIDATE_COLUMNS).unionByName(head(matches, MATCH_COLUMNS))
+    if heads.count():
+        return heads
     lists = tsv.read_lists(spark, candidates)
     found = validate.validation_report(lists, records, "candidate_entity_ids").unionByName(raw(candidates)).unionByName(raw(matches))
     return found.unionByName(validate.validation_report(tsv.read_truth(spark, matches), records, candidates=lists))

@@ -22,10 +22,13 @@ def source_path(root: str, split: str, source: str) -> str:
     return f"{root}/{split}/{split}_{source}.tsv"
 
 
+def header(spark: SparkSession, path: str) -> list[str]:
+    return [c.removeprefix("\ufeff") for c in spark.read.options(**READ).csv(path).columns]
+
+
 def read_tsv(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
     """All columns of a file as text, empty fields as empty text; rows of another length are an error."""
-    columns = spark.read.options(**READ).csv(path).columns
-    columns = [c.removeprefix("﻿") for c in columns]
+    columns = header(spark, path)
     require_columns(columns, wanted)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     frame = spark.read.schema(schema).options(**READ, enforceSchema=True).csv(path)

@@ -99,3 +99,5 @@ def test_from_files_to_files(spark, root, tmp_path_factory, capsys):
     broken = f"{out}/broken.tsv"
     open(broken, "w").write("source1_entity_id\tmatched_entity_ids\nS1-0\tS2-0,S2-0\n")
     assert linkage.accept(spark, root, f"{out}/test.tsv", broken).count() > 1
+    open(broken, "w").write("id\tmatched_entity_ids\n")
+    assert [r.rule for r in linkage.accept(spark, root, f"{out}/test.tsv", broken).collect()] == ["header"]
