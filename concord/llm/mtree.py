@@ -11,6 +11,7 @@ Queries meet trees in blocks; the best of all trees are merged. Scores are exact
 
 from __future__ import annotations
 
+import heapq
 import io
 from collections.abc import Iterator
 
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from concord.llm.common import cut, small_batches
 
 SCALE, K, EVERY = 64, 20, 20
-LEAF, FAN = 64, 32  # entries of a leaf page and of a directory page
-TREE, BLOCK = 4096, 256  # vectors of a tree, queries of a block
+LEAF, FAN = 256, 32  # entries of a leaf page and of a directory page
+TREE, BLOCK = 16384, 256  # vectors of a tree, queries of a block
 SLACK = 1e-6  # relative, for distances in floating point
 SAFE = 1 << 20  # components up to here have exact products in a double
 
@@ -74,7 +75,7 @@ class MTree:
             radius = max(e[2] + e[1] for e in entries)
             self.directory.append((top, radius, np.array([e[0] for e in entries]), np.array([e[1] for e in entries]), np.array([e[2] for e in entries]), [e[3:] for e in entries]))
         order = np.concatenate(order) if order else np.zeros(0, np.int64)
-        self.ids, self.vectors = ids[order], vectors[order]
+        self.ids, self.vectors, self.points = ids[order], vectors[order], points[order]
         self.tops = np.array([d[0] for d in self.directory])
         self.radii = np.array([d[1] for d in self.directory])
         self.computed = 0
@@ -88,38 +89,41 @@ class MTree:
         q[: min(n, len(query))] = query[:n]
         if not self.bounded or (len(q) and np.abs(q).max() > SAFE):
             return _best(self.vectors @ q, self.ids, own, k)
-        point = np.append(q.astype(np.float64), 0.0)
+        flat = q.astype(np.float64)
+        point = np.append(flat, 0.0)
         shift = float((point**2).sum() + self.top)
         distance = lambda x: np.sqrt(((x - point) ** 2).sum(axis=1))
         best: list[tuple[int, int]] = []
         limit = np.inf  # distance to the k-th best, widened by what rounding may cost
         to_top = distance(self.tops)
-        least = np.maximum(to_top - self.radii, 0)
-        queue = [(float(x), 0, i, -1) for i, x in enumerate(least)]
-        import heapq
-
+        queue = [(low, i, -1, 0.0) for i, low in enumerate(np.maximum(to_top - self.radii, 0).tolist())]
         heapq.heapify(queue)
         while queue:
-            bound, level, i, j = heapq.heappop(queue)
+            bound, i, leaf, to_route = heapq.heappop(queue)
             if bound > limit:
                 break
             _, _, routes, radii, parents, spans = self.directory[i]
-            if level == 0:
+            if leaf < 0:
                 # the parent's distance alone rules out some leaves
                 open_ = np.flatnonzero(np.abs(to_top[i] - parents) - radii <= limit)
-                to_route = distance(routes[open_])
-                for leaf, d in zip(open_.tolist(), to_route.tolist(), strict=True):
-                    if (low := max(0.0, d - radii[leaf])) <= limit:
-                        heapq.heappush(queue, (low, 1, i, leaf))
+                to_routes = distance(routes[open_])
+                for j, low, d in zip(open_.tolist(), np.maximum(to_routes - radii[open_], 0).tolist(), to_routes.tolist(), strict=True):
+                    if low <= limit:
+                        heapq.heappush(queue, (low, i, j, d))
+                continue
+            start, stop, stored = spans[leaf]
+            some = np.abs(to_route - stored) <= limit
+            n_some = int(some.sum())
+            if not n_some:
+                continue
+            rows = slice(start, stop) if n_some == stop - start else np.flatnonzero(some) + start
+            self.computed += n_some
+            scores = self.points[rows] @ flat  # whole numbers below 2**53
+            if len(best) == k and scores.max() < best[-1][0]:
                 continue
-            start, stop, stored = spans[j]
-            to_own = float(np.sqrt(((routes[j] - point) ** 2).sum()))
-            some = np.flatnonzero(np.abs(to_own - stored) <= limit) + start
-            self.computed += len(some)
-            best = _merge(best, _best(self.vectors[some] @ q, self.ids[some], own, k), k)
+            best = _merge(best, _best(scores.astype(np.int64), self.ids[rows], own, k), k)
             if len(best) == k:
-                reach = shift - 2.0 * best[-1][0]
-                limit = np.sqrt(max(reach, 0.0)) + SLACK * (1 + np.sqrt(shift))
+                limit = np.sqrt(max(shift - 2.0 * best[-1][0], 0.0)) + SLACK * (1 + np.sqrt(shift))
         return best
 
 
