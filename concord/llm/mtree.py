@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import io
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,28 @@ def _near(points: np.ndarray, size: int, start: int) -> list[np.ndarray]:
     return out
 
 
+def _distance(rows: np.ndarray, point: np.ndarray) -> np.ndarray:
+    return np.sqrt(((rows - point) ** 2).sum(axis=1))
+
+
+def _middle(points: np.ndarray, rows: np.ndarray) -> int:
+    """The row nearest to the mean: the routing object."""
+    return int(rows[int(np.argmin(_distance(points[rows], points[rows].mean(axis=0))))])
+
+
+@dataclass
+class Page:
+    """A directory page: its routing object and covering radius, and of each leaf the routing object, the radius, the
+    distance to the page's and (first entry, last entry, the entries' distances to the leaf's routing object)."""
+
+    route: np.ndarray
+    radius: float
+    routes: np.ndarray
+    radii: np.ndarray
+    parents: np.ndarray
+    spans: list[tuple[int, int, np.ndarray]]
+
+
 class MTree:
     """Two levels of pages over integer vectors."""
 
@@ -58,26 +81,25 @@ class MTree:
         self.top = norms.max() if len(norms) else 0.0
         lifted = np.hstack([points, np.sqrt(np.maximum(self.top - norms, 0))[:, None]])
         leaves = _near(lifted, LEAF, 0) if len(lifted) else []
-        centers = np.array([lifted[x].mean(axis=0) for x in leaves]).reshape(len(leaves), lifted.shape[1])
-        # the routing object of a page is the entry nearest to its mean
-        routes = [x[int(np.argmin(((lifted[x] - c) ** 2).sum(axis=1)))] for x, c in zip(leaves, centers, strict=True)]
-        pages = _near(lifted[routes], FAN, 0) if routes else []
-        self.directory, order, at = [], [], 0
-        for page in pages:
-            top = lifted[routes[page[int(np.argmin(((lifted[np.array(routes)[page]] - lifted[np.array(routes)[page]].mean(axis=0)) ** 2).sum(axis=1)))]]]
-            entries = []
-            for leaf in page:
-                rows, route = leaves[leaf], lifted[routes[leaf]]
-                to_route = np.sqrt(((lifted[rows] - route) ** 2).sum(axis=1))
+        routes = np.array([_middle(lifted, rows) for rows in leaves], np.int64)
+        self.directory: list[Page] = []
+        order, at = [], 0
+        for page in _near(lifted[routes], FAN, 0) if leaves else []:
+            top = lifted[_middle(lifted, routes[page])]
+            radii, spans = [], []
+            for leaf in page.tolist():
+                rows = leaves[leaf]
+                stored = _distance(lifted[rows], lifted[routes[leaf]])
+                radii.append(stored.max())
+                spans.append((at, at + len(rows), stored))
                 order.append(rows)
-                entries.append((route, float(to_route.max()), float(np.sqrt(((route - top) ** 2).sum())), at, at + len(rows), to_route))
                 at += len(rows)
-            radius = max(e[2] + e[1] for e in entries)
-            self.directory.append((top, radius, np.array([e[0] for e in entries]), np.array([e[1] for e in entries]), np.array([e[2] for e in entries]), [e[3:] for e in entries]))
+            parents = _distance(lifted[routes[page]], top)
+            self.directory.append(Page(top, float((parents + radii).max()), lifted[routes[page]], np.array(radii), parents, spans))
         order = np.concatenate(order) if order else np.zeros(0, np.int64)
         self.ids, self.vectors, self.points = ids[order], vectors[order], points[order]
-        self.tops = np.array([d[0] for d in self.directory])
-        self.radii = np.array([d[1] for d in self.directory])
+        self.tops = np.array([p.route for p in self.directory])
+        self.radii = np.array([p.radius for p in self.directory])
         self.computed = 0
 
     def search(self, query: np.ndarray, own: int | None, k: int) -> list[tuple[int, int]]:
@@ -92,26 +114,25 @@ class MTree:
         flat = q.astype(np.float64)
         point = np.append(flat, 0.0)
         shift = float((point**2).sum() + self.top)
-        distance = lambda x: np.sqrt(((x - point) ** 2).sum(axis=1))
         best: list[tuple[int, int]] = []
         limit = np.inf  # distance to the k-th best, widened by what rounding may cost
-        to_top = distance(self.tops)
+        to_top = _distance(self.tops, point)
         queue = [(low, i, -1, 0.0) for i, low in enumerate(np.maximum(to_top - self.radii, 0).tolist())]
         heapq.heapify(queue)
         while queue:
             bound, i, leaf, to_route = heapq.heappop(queue)
             if bound > limit:
                 break
-            _, _, routes, radii, parents, spans = self.directory[i]
+            page = self.directory[i]
             if leaf < 0:
                 # the parent's distance alone rules out some leaves
-                open_ = np.flatnonzero(np.abs(to_top[i] - parents) - radii <= limit)
-                to_routes = distance(routes[open_])
-                for j, low, d in zip(open_.tolist(), np.maximum(to_routes - radii[open_], 0).tolist(), to_routes.tolist(), strict=True):
+                open_ = np.flatnonzero(np.abs(to_top[i] - page.parents) - page.radii <= limit)
+                to_routes = _distance(page.routes[open_], point)
+                for j, low, d in zip(open_.tolist(), np.maximum(to_routes - page.radii[open_], 0).tolist(), to_routes.tolist(), strict=True):
                     if low <= limit:
                         heapq.heappush(queue, (low, i, j, d))
                 continue
-            start, stop, stored = spans[leaf]
+            start, stop, stored = page.spans[leaf]
             some = np.abs(to_route - stored) <= limit
             n_some = int(some.sum())
             if not n_some:
