@@ -6,38 +6,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.functions.grams import minhash
-from concord.operators.idf import document_frequency, top_features
+from concord.operators.idf import distinct_terms, document_frequency, with_frequencies
 from concord.schema import BlockingConfig
 
 
-def signatures(top: DataFrame, config: BlockingConfig = BlockingConfig()) -> DataFrame:
-    """entity_id, country, signature over the top features of both fields, addresses' in a range of their own."""
-    ids = F.array_sort(F.collect_list(F.col("field") * config.n_features + F.col("feature")))
-    return top.groupBy("entity_id", "country").agg(ids.alias("ids")).select("entity_id", "country", minhash(F.col("ids"), config.num_perm).alias("signature"))
+def signatures(records: DataFrame, frequencies: DataFrame, config: BlockingConfig = BlockingConfig()) -> DataFrame:
+    """entity_id, source_name, country, signature over the rarest features of both fields, addresses' in a range of their own.
+
+    Records are dealt by id before their n-grams are made, so these never move: they gather in their record's row, where
+    the cut, the signature and the bands are found.
+    """
+    terms = with_frequencies(distinct_terms(records.repartition("entity_id"), config), frequencies)
+    sorted_ = F.array_sort(F.collect_list(F.struct("field", "df", "feature")))
+    gathered = terms.groupBy("entity_id", "source_name", "country").agg(sorted_.alias("terms"))
+
+    def rarest(field: int, limit: int) -> Column:
+        own = F.filter("terms", lambda t: t["field"] == field)
+        return F.transform(F.slice(own, 1, limit), lambda t: t["feature"] + field * config.n_features)
+
+    ids = F.concat(rarest(0, config.max_name_features), rarest(1, config.max_address_features))
+    return gathered.select("entity_id", "source_name", "country", ids.alias("ids")).select("entity_id", "source_name", "country", minhash(F.col("ids"), config.num_perm).alias("signature"))
 
 
 def lsh_buckets(signed: DataFrame, config: BlockingConfig = BlockingConfig()) -> DataFrame:
-    """entity_id, bucket, exact_match (0) of each band."""
+    """entity_id, source_name, bucket, exact_match (0) of each band."""
     rows = config.num_perm // config.bands
     band = F.transform(F.sequence(F.lit(0), F.lit(config.bands - 1)), lambda b: F.concat_ws("/", F.lit("m"), F.col("country"), b.cast("string"), F.array_join(F.slice("signature", b * rows + 1, F.lit(rows)), "/")))
-    return signed.select("entity_id", F.explode(band).alias("bucket"), F.lit(0).alias("exact_match"))
+    return signed.select("entity_id", "source_name", F.explode(band).alias("bucket"), F.lit(0).alias("exact_match"))
 
 
 def exact_buckets(records: DataFrame) -> DataFrame:
-    """entity_id, bucket, exact_match (1) of names and addresses that aren't empty.
+    """entity_id, source_name, bucket, exact_match (1) of names and addresses that aren't empty.
 
     Lengths stand before the country, so that no two keys are alike by chance.
     """
     key = lambda field: F.concat_ws("/", F.lit("e"), F.length("country").cast("string"), F.col("country"), F.lit(field), F.col(field))
     keys = F.array_compact(F.array(*(F.when(F.col(f) != "", key(f)) for f in ("name", "address"))))
-    return records.select("entity_id", F.explode(keys).alias("bucket"), F.lit(1).alias("exact_match"))
+    return records.select("entity_id", "source_name", F.explode(keys).alias("bucket"), F.lit(1).alias("exact_match"))
 
 
 def record_buckets(records: DataFrame, config: BlockingConfig = BlockingConfig()) -> DataFrame:
-    """entity_id, source_name, bucket, exact_match of all ``records`` (``keyed_records``); no bucket twice for a record."""
-    top = top_features(records, document_frequency(records, config), config)
-    buckets = lsh_buckets(signatures(top, config), config).unionByName(exact_buckets(records))
-    return buckets.distinct().join(records.select("entity_id", "source_name"), "entity_id")
+    """entity_id, source_name, bucket, exact_match of all ``records`` (``keyed_records``, ids once each).
+
+    Keys say their kind and band or field, so no record has a bucket twice.
+    """
+    signed = signatures(records, document_frequency(records, config), config)
+    return lsh_buckets(signed, config).unionByName(exact_buckets(records))
 
 
 def bucket_sizes(buckets: DataFrame) -> DataFrame:

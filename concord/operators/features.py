@@ -86,11 +86,13 @@ def cosines(pairs: DataFrame, weights: DataFrame) -> DataFrame:
 def pair_features(pairs: DataFrame, records: DataFrame, idf: DataFrame | None = None, n_records: int | None = None, config: BlockingConfig = BlockingConfig()) -> DataFrame:
     """All 29 columns, in their fixed order, of ``pairs``.
 
-    ``idf`` (with the ``n_records`` it was fitted on) is fitted on ``records`` if it isn't given.
+    ``idf`` (with the ``n_records`` it was fitted on) is fitted on ``records`` if it isn't given. ``pairs`` is read several
+    times, so it should be a stored table.
     """
     if idf is None:
         n_records = records.count()
         idf = smoothed_idf(document_frequency(records, config), n_records)
     scalars = scalar_features(lookup_pairs(pairs, records))
-    cosine = cosines(pairs, unit_weights(records, idf, n_records, config))
+    paired = pairs.select(F.col("source1_entity_id").alias("entity_id")).union(pairs.select("candidate_entity_id"))
+    cosine = cosines(pairs, unit_weights(records.join(paired, "entity_id", "left_semi"), idf, n_records, config))
     return scalars.join(cosine, ["source1_entity_id", "candidate_entity_id"]).select(*PAIR_IDS, *PAIR_FEATURES)

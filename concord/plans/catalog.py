@@ -11,6 +11,7 @@ from concord.functions.grams import char_grams, features
 from concord.operators import blocking, idf, labels, matcher, results, tuning, validate
 from concord.operators import features as pairwise
 from concord.operators.records import exploded_candidates, format_ids, id_violations, keyed_records, normalize_records, parse_ids, source_counts, union_sources
+from concord.operators.store import cut
 from concord.plans.linkage import train
 from concord.sources import fixtures
 
@@ -81,7 +82,7 @@ def top_tfidf_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _records(spark, sf_dir)
-    return blocking.signatures(idf.top_features(records, idf.document_frequency(records)))
+    return blocking.signatures(records, idf.document_frequency(records))
 
 
 def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,11 +90,11 @@ def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lsh_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.lsh_buckets(_signed(spark, sf_dir))
+    return blocking.lsh_buckets(_signed(spark, sf_dir)).drop("source_name")
 
 
 def exact_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.exact_buckets(_records(spark, sf_dir))
+    return blocking.exact_buckets(_records(spark, sf_dir)).drop("source_name")
 
 
 def bucket_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +105,11 @@ def collision_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.collision_votes(blocking.record_buckets(_records(spark, sf_dir)))
 
 
+def _pairs(records: DataFrame) -> DataFrame:
+    """Candidate pairs, written once, as several steps read them."""
+    return cut(blocking.generate_candidates(records))
+
+
 def ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.generate_candidates(_records(spark, sf_dir))
 
@@ -127,7 +133,7 @@ def candidate_pairs_from_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _records(spark, sf_dir)
-    return pairwise.lookup_pairs(blocking.generate_candidates(records), records)
+    return pairwise.lookup_pairs(_pairs(records), records)
 
 
 def pair_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,12 +152,12 @@ def pair_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _records(spark, sf_dir)
     n = records.count()
     weights = idf.unit_weights(records, idf.smoothed_idf(idf.document_frequency(records), n), n)
-    return _rounded(pairwise.cosines(blocking.generate_candidates(records), weights))
+    return _rounded(pairwise.cosines(_pairs(records), weights))
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _records(spark, sf_dir)
-    return pairwise.pair_features(blocking.generate_candidates(records), records)
+    return pairwise.pair_features(_pairs(records), records)
 
 
 def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +177,7 @@ def validation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = blocking.generate_candidates(_records(spark, sf_dir)).select("source1_entity_id", "candidate_entity_id")
+    pairs = _pairs(_records(spark, sf_dir)).select("source1_entity_id", "candidate_entity_id")
     return labels.label_pairs(pairs, fixtures.ground_truth(spark, sf_dir))
 
 
@@ -196,7 +202,8 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs with a score that SQL can follow: the mean of both fields' Jaccard similarities."""
     mean = (F.col("name_jaccard_similarity") + F.col("address_jaccard_similarity")) / 2
     scalars = pairwise.scalar_features(_looked_up(spark, sf_dir), pairwise.token_features())
-    return labels.label_pairs(scalars.select("source1_entity_id", "candidate_entity_id", F.round(mean, 9).alias("probability")), fixtures.ground_truth(spark, sf_dir))
+    scored = scalars.select("source1_entity_id", "candidate_entity_id", F.round(mean, 9).alias("probability"))
+    return cut(labels.label_pairs(scored, fixtures.ground_truth(spark, sf_dir)))
 
 
 def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +219,7 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tuned_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = _truth(spark, sf_dir).where("is_validation")
+    held = cut(_truth(spark, sf_dir).where("is_validation"))
     threshold, best = tuning.tuned_threshold(_scored(spark, sf_dir).where("is_validation"), held)
     return spark.range(1).select(F.lit(threshold).alias("threshold"), F.round(F.lit(best), 6).alias("macro_f05"))
 
