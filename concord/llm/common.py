@@ -2,30 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from concord.operators.store import cut  # noqa: F401
+
 #: White space of the word rule shared by the operators: a word is a run of anything else.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+class Held:
+    """Tables that several steps of an operator read, kept by the executors until its result is written.
+
+    A lost one is made again from its lineage.
+    """
 
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder that the cluster shares and go on from there.
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.tables.append(df.persist())
+        return self.tables[-1]
 
-    The folder is ``spark.checkpoint.dir``; one is made only where that is unset (tests on one machine).
-    """
-    spark = session_of(df)
-    context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="concord-checkpoint-"))
-    return df.checkpoint()
+    def __enter__(self) -> Held:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for df in self.tables:
+            df.unpersist()
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
