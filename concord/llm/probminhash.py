@@ -4,9 +4,10 @@ Each distinct shingle of a text sends arrivals of a Poisson process, at the rate
 random; a register keeps the shingle that arrived first. Two texts agree in a register with the probability Jaccard of
 their weighted shingles. A shingle whose next arrival comes after all registers are taken by earlier ones stops.
 
-Equal texts are one node. Nodes that agree in a band meet in a bucket. There each node is verified against the least
-one, so a large group costs one link for each member; only in buckets that then still hold several components are the
-other pairs looked at, in blocks, and those whose whole signatures are alike verified. A link is an exact Jaccard
+Equal texts are one node. Nodes that agree in a band meet in a bucket. There each node is verified against the one that
+meets most others, so a large group costs one link for each member. Buckets that then still hold several components are
+compared in blocks of bounded size, and only links that join components leave those. Pairs are verified where their whole
+signatures agree as often as those of similar texts do. A link is an exact Jaccard
 similarity of the distinct shingles of at least the threshold; linked nodes form classes.
 """
 
@@ -20,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import cut, small_batches
+from concord.llm.common import Held, cut, small_batches
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5  # at similarity 0.8 a pair shares no band with probability 3e-6
 CHUNK = 1 << 21  # bytes of text that are worked on at once
-BLOCK = 1000  # nodes of an unresolved bucket that meet another such block
+BLOCK = 1000  # nodes of a bucket that meet those of another block in one task
 SIGMAS = 5  # how far below the threshold a signature's estimate may lie
 BROADCAST_ROWS = 200_000  # of 16-byte nodes
 
@@ -173,18 +174,20 @@ def _shingles(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node binary, shingles array<long>")
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The rows (a, b) of ``pairs`` whose texts' shingles have at least the threshold in common."""
-    pairs = cut(pairs)
-    wanted = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    few = wanted.count() <= BROADCAST_ROWS
-    # one row of each text: the one whose doc_id is its node's least
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes of ``wanted`` (node; stored), from one row of each text: the one of its least doc_id."""
     rows = docs.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node"))
     firsts = wanted.join(nodes.select("node", "first"), "node")
-    if few:
+    if wanted.count() <= BROADCAST_ROWS:
         firsts = F.broadcast(firsts)
     texts = rows.join(firsts.withColumnRenamed("node", "__node"), (F.col("node") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("first")))
-    sets = cut(_shingles(texts).groupBy("node").agg(F.max("shingles").alias("shingles")))
+    return _shingles(texts).groupBy("node").agg(F.max("shingles").alias("shingles"))
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float, held: Held) -> DataFrame:
+    """The rows (a, b) of ``pairs`` whose texts' shingles have at least the threshold in common."""
+    wanted = held(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    sets = held(_sets(docs, nodes, wanted))
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
@@ -198,76 +201,174 @@ def components(links: DataFrame) -> DataFrame:
     Each round gives a node the least label around it and then that label's own label; chains halve, and labels are
     written to the checkpoint folder between rounds.
     """
-    both = cut(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
-    while True:
-        around = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("around"))
-        near = labels.join(around, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "around").alias("near"))
-        near = cut(near)
-        up = near.select(F.col("node").alias("__up"), F.col("near").alias("__label"))
-        new = cut(near.join(up, F.col("near") == F.col("__up"), "left").select("node", F.coalesce("__label", "near").alias("label"), "old"))
-        labels = new.select("node", "label")
-        if new.where("label != old").isEmpty():
-            return labels
+    with Held() as held:
+        both = held(links.select("a", "b").union(links.select("b", "a")).distinct())
+        labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
+        while True:
+            with Held() as step:
+                labels = step(labels)
+                around = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("around"))
+                near = labels.join(around, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "around").alias("near"))
+                near = step(near)
+                up = near.select(F.col("node").alias("__up"), F.col("near").alias("__label"))
+                new = cut(near.join(up, F.col("near") == F.col("__up"), "left").select("node", F.coalesce("__label", "near").alias("label"), "old"))
+            labels = new.select("node", "label")
+            if new.where("label != old").isEmpty():
+                return labels
+
+
+def _least_alike(threshold: float) -> float:
+    """Registers in which signatures of a pair at the threshold agree at least, but for one pair in some millions."""
+    m = BANDS * ROWS
+    return threshold * m - SIGMAS * (m * threshold * (1 - threshold)) ** 0.5
+
+
+def _alike(nodes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The rows (a, b) of ``pairs`` whose signatures agree as often as those of similar texts do."""
+    sketch = nodes.select("node", "sketch")
+    a, b = sketch.withColumnsRenamed({"node": "a", "sketch": "of_a"}), sketch.withColumnsRenamed({"node": "b", "sketch": "of_b"})
+    least = _least_alike(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("of_a", "of_b"))
+            some = pa.array(np.flatnonzero((x == y).sum(axis=1) >= least))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(some), batch.column("b").take(some)], names=["a", "b"])
+
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a binary, b binary")
+
+
+def _stars(buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each node of ``buckets`` (key, node, n) with its bucket's center: the node that meets most others.
+
+    The text that a group's copies were made from agrees with each of them more than they do with one another; it is
+    in the large buckets of all bands.
+    """
+    met = buckets.groupBy("node").agg(F.sum("n").alias("met"))
+    center = buckets.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node"))["node"].alias("center"))
+    pairs = buckets.select("key", "node").join(center, "key").where("node != center")
+    return pairs.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
 
 
-def _alike(a: Column, b: Column) -> Column:
-    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+def _blocks(members: DataFrame) -> DataFrame:
+    """``members`` (key, node, ...) with i and j: a bucket's nodes are dealt over blocks, and each pair of blocks meets once."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "own", "other")
 
 
-def _rest(nodes: DataFrame, buckets: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket of three or more and whose signatures are alike."""
+def _groups(table: pa.Table) -> tuple[list[bytes], np.ndarray]:
+    """Nodes, and a number for each one's component."""
+    labels: dict[bytes, int] = {}
+    return table.column("node").to_pylist(), np.array([labels.setdefault(x, len(labels)) for x in table.column("label").to_pylist()])
+
+
+def _unresolved(nodes: DataFrame, buckets: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """(key, node, label) of nodes whose signature is like that of a node of another component in their bucket."""
     member = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    open_ = member.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("n > 2 and x < y").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    member = member.join(cut(open_), "key").join(nodes.select("node", "sketch"), "node")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = member.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "sketch")
-    least = threshold * BANDS * ROWS - SIGMAS * (BANDS * ROWS * threshold * (1 - threshold)) ** 0.5
-
-    def pairs(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("own", "node", "label", "sketch")), strict=True))
-        sketch = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-        found, cross = [], rows[0][0] != rows[-1][0]
-        for x in range(len(rows) - 1):
-            same = (sketch[x + 1 :] == sketch[x]).sum(axis=1)
-            for y in (np.flatnonzero(same >= least) + x + 1).tolist():
-                if rows[x][2] != rows[y][2] and (not cross or rows[x][0] != rows[y][0]):
-                    found.append((min(rows[x][1], rows[y][1]), max(rows[x][1], rows[y][1])))
+    # the one pair of a bucket of two was a star's
+    several = member.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("n > 2 and x < y").select("key")
+    dealt = _blocks(member.join(several, "key", "left_semi").join(nodes.select("node", "sketch"), "node"))
+    least = _least_alike(threshold)
+
+    def alike(table: pa.Table) -> pa.Table:
+        node, group = _groups(table)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+        some = [x for x in range(len(node)) if (((sketch == sketch[x]).sum(axis=1) >= least) & (group != group[x])).any()]
+        return table.select(["key", "node", "label"]).take(pa.array(some, pa.int64()))
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(alike, "key long, node binary, label binary").distinct()
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of ``sets`` share: frequent ones by matrix products, others by their lists."""
+    n = len(sets)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    out = np.zeros((n, n), np.float32)
+    frequent = np.flatnonzero(times >= 32)
+    for start in range(0, len(frequent), 2048):
+        column = np.full(len(times), -1)
+        part = frequent[start : start + 2048]
+        column[part] = np.arange(len(part))
+        there = column[at] >= 0
+        x = np.zeros((n, len(part)), np.float32)
+        x[row[there], column[at][there]] = 1
+        out += x @ x.T
+    rare = (times[at] > 1) & (times[at] < 32)
+    order = np.argsort(at[rare], kind="stable")
+    rows, ends = row[rare][order], np.cumsum(times[(times > 1) & (times < 32)])
+    for k in range(1, 32):  # pairs of the same element that stand k apart
+        same = np.searchsorted(ends, np.arange(len(rows) - k), side="right") == np.searchsorted(ends, np.arange(k, len(rows)), side="right") if len(rows) > k else np.zeros(0, bool)
+        a, b = rows[: max(0, len(rows) - k)][same], rows[k:][same]
+        np.add.at(out, (a, b), 1)
+        np.add.at(out, (b, a), 1)
+    return out
+
+
+def _joining(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between different components of ``members`` (key, node, label): in each block as few as join all that can be."""
+
+    def links(table: pa.Table) -> pa.Table:
+        node, group = _groups(table)
+        sets = [x.values.to_numpy() for x in table.column("shingles").combine_chunks()]
+        sizes = np.array([len(s) for s in sets], np.float32)
+        both = _common(sets)
+        near = both >= threshold * (sizes[:, None] + sizes[None, :] - both) - 1e-4
+        found = []
+        for x in range(len(node)):
+            for y in np.flatnonzero(near[x] & (group != group[x])).tolist():
+                if group[x] != group[y]:
+                    found.append((min(node[x], node[y]), max(node[x], node[y])))
+                    group[group == group[y]] = group[x]
         return pa.table({"a": pa.array([p[0] for p in found], pa.binary()), "b": pa.array([p[1] for p in found], pa.binary())})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(pairs, "a binary, b binary").distinct()
+    return _blocks(members.join(sets, "node")).groupBy("key", "i", "j").applyInArrow(links, "a binary, b binary").distinct()
+
+
+def _links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Verified links that join all that can be joined, and the components' labels.
+
+    After the stars come the buckets that still hold several components: their nodes that are like one of another
+    component meet in blocks, where sets are compared and only the links that join components leave.
+    """
+    with Held() as held:
+        links = cut(_verified(docs, nodes, cut(_alike(nodes, _stars(buckets), threshold)), threshold, held))
+        labels = components(links)
+        rest = cut(_unresolved(nodes, buckets.select("key", "node"), labels, threshold))
+        if rest.isEmpty():
+            return links, labels
+        more = cut(_joining(rest, _sets(docs, nodes, held(rest.select("node").distinct())), threshold))
+        if more.isEmpty():
+            return links, labels
+        links = links.union(more)
+        return links, components(links)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node) of each row, and (node, class_id, keeper, n_links, n_rows) of each node.
 
-    class_id is the least doc_id of the class, ``keeper`` the least node that has it; ``n_links`` counts the links found
-    to other texts, ``n_rows`` the rows of the text.
+    class_id is the least doc_id of the class, ``keeper`` the least node that has it; ``n_links`` counts the links to other
+    texts that hold the class together, ``n_rows`` the rows of the text.
     """
     docs = docs.select("doc_id", "text")
     signed = sign(docs)
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_rows"), F.max("keys").alias("keys"), F.max("sketch").alias("sketch"))
     nodes = cut(nodes)
-    each = nodes.select(F.explode("keys").alias("key"), "node")
-    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("center")).where("n > 1")
-    buckets = cut(each.join(shared, "key").select("key", "node", "center"))
-    stars = buckets.where("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut(_verified(docs, nodes, stars, threshold))
-    labels = components(links)
-    more = cut(_verified(docs, nodes, _rest(nodes, buckets.select("key", "node"), labels, threshold), threshold))
-    if not more.isEmpty():
-        links = cut(links.union(more).distinct())
-        labels = components(links)
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
-    linked = labels.join(degree, "node")
-    grouped = nodes.select("node", "first", "n_rows").join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    grouped = cut(grouped)
-    of_class = grouped.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("no"), F.col("first").alias("first"), F.col("node").alias("node"))).alias("x"))
-    of_class = of_class.select("label", F.col("x.first").alias("class_id"), F.col("x.node").alias("keeper"))
-    table = grouped.join(of_class, "label").select("node", "class_id", "keeper", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_rows")
+    with Held() as held:
+        each = nodes.select(F.explode("keys").alias("key"), "node")
+        shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        buckets = held(each.join(shared, "key"))
+        links, labels = _links(docs, nodes, buckets, threshold)
+        degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
+        linked = labels.join(degree, "node")
+        grouped = held(nodes.select("node", "first", "n_rows").join(linked, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        of_class = grouped.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("no"), F.col("first").alias("first"), F.col("node").alias("node"))).alias("x"))
+        of_class = of_class.select("label", F.col("x.first").alias("class_id"), F.col("x.node").alias("keeper"))
+        table = cut(grouped.join(of_class, "label").select("node", "class_id", "keeper", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_rows"))
     rows = docs.select("doc_id", F.when(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5("text"))).alias("node"))
-    return rows, cut(table)
+    return rows, table
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
