@@ -86,9 +86,9 @@ def shingle_sets(data: list[bytes], size: int = SHINGLE) -> list[tuple[np.ndarra
     return out
 
 
-def weights(counts: np.ndarray) -> np.ndarray:
-    """1 + ln of the count: a line repeated many times counts for more, but doesn't hide the rest of a text."""
-    return 1 + np.log(counts)
+#: Weight of a shingle by its count in the text. With "one" the probability Jaccard is the plain one that is verified; with
+#: "log" a line repeated many times counts for more, so texts that differ in such lines may share no band.
+WEIGHTS = {"one": lambda counts: np.ones(len(counts)), "log": lambda counts: 1 + np.log(counts)}
 
 
 def signatures(texts: list[tuple[np.ndarray, np.ndarray]], m: int = BANDS * ROWS) -> np.ndarray:
@@ -139,16 +139,17 @@ def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[byte
         yield start, held
 
 
-def sign(docs: DataFrame) -> DataFrame:
+def sign(docs: DataFrame, weights: str = "one") -> DataFrame:
     """(doc_id, node, keys, sketch) of ``docs`` (doc_id, text): node is the MD5 of the text, null if it has no words."""
     small_batches(docs.sparkSession)
     names = ["doc_id", "node", "keys", "sketch"]
+    weigh = WEIGHTS[weights]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, data in _chunks(batch, 1):
                 sets = shingle_sets(data)
-                held = signatures([(e, weights(n)) for e, n in sets])
+                held = signatures([(e, weigh(n)) for e, n in sets])
                 keys = band_keys(held)
                 some = [len(e) > 0 for e, _ in sets]
                 node = [hashlib.md5(x).digest() if s else None for x, s in zip(data, some, strict=True)]
@@ -346,14 +347,14 @@ def _links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, threshold: flo
         return links, components(links)
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "one") -> tuple[DataFrame, DataFrame]:
     """(doc_id, node) of each row, and (node, class_id, keeper, n_links, n_rows) of each node.
 
     class_id is the least doc_id of the class, ``keeper`` the least node that has it; ``n_links`` counts the links to other
     texts that hold the class together, ``n_rows`` the rows of the text.
     """
     docs = docs.select("doc_id", "text")
-    signed = sign(docs)
+    signed = sign(docs, weights)
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_rows"), F.max("keys").alias("keys"), F.max("sketch").alias("sketch"))
     nodes = cut(nodes)
     with Held() as held:
@@ -371,23 +372,23 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, D
     return rows, table
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "one") -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, class_id, n_links, n_rows.
 
     Texts without words (null or empty ones, too) are never duplicates: class_id is their own doc_id, n_links 0, n_rows 1.
     Rows without an id have their class's id, null if none in it has one. Other columns are not read.
     """
-    rows, table = classes(docs, threshold)
+    rows, table = classes(docs, threshold, weights)
     joined = rows.join(table, "node", "left")
     return joined.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_rows", F.lit(1)).cast("long").alias("n_rows"))
 
 
-def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "one") -> DataFrame:
     """``docs`` without near duplicates: of each class the row with the least doc_id stays, as do texts without words.
 
     Of rows equal in doc_id and text the one with the least other columns stays.
     """
-    _, table = classes(docs, threshold)
+    _, table = classes(docs, threshold, weights)
     whole = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("__doc"), F.when(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5("text"))).alias("__node"))
     keepers = table.where("node = keeper").select(F.col("node").alias("__keeper"), "class_id", "n_rows")
     kept = whole.where("__node is not null").join(keepers, F.col("__node") == F.col("__keeper")).where(F.col("__doc.doc_id").eqNullSafe(F.col("class_id")))

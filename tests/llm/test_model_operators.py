@@ -167,6 +167,19 @@ def test_classes_against_brute_force(spark):
     assert kept.columns == frame.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_repeated_lines_hide_no_link(spark):
+    """Copies of texts that repeat a line many times, with edits in all its repetitions."""
+    rng = random.Random(12)
+    docs = []
+    for i in range(30):
+        line, rest = family(rng, 1, (0, 0))[0][:200], family(rng, 1, (0, 0))[0]
+        docs += [(2 * i, (line + "\n") * 40 + rest), (2 * i + 1, (line[:190] + "x\n") * 40 + rest)]
+    got = pm.near_duplicates(spark.createDataFrame(docs, TEXT)).collect()
+    assert {r.doc_id: r.class_id for r in got} == brute_classes(docs) and len({r.class_id for r in got}) < 60
+    logs = pm.near_duplicates(spark.createDataFrame(docs, TEXT), weights="log").collect()
+    assert len(logs) == 60
+
+
 def test_a_large_group_without_a_center(spark):
     """A chain: each text is near the next ones, the ends have nothing in common."""
     words = [f"w{i}" for i in range(600)]
