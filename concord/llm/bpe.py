@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from concord.llm.common import small_batches
 
 #: Entries of a worker's memo tables before they start afresh; they hold nothing that can't be found again.
-MEMO = 400_000
+MEMO = 200_000
 
 
 class ByteBpe:
@@ -47,8 +47,6 @@ class ByteBpe:
             self.shorter[rank] = next((ranks[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in ranks), -1)
             if len(token) > 1:
                 self.halves[rank] = self._last_merge(token, rank)
-                if self.halves[rank] is None:  # no merges lead here; only a whole piece can be this token
-                    continue
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
 
@@ -57,15 +55,13 @@ class ByteBpe:
         with open(path, "rb") as f:
             return cls({base64.b64decode(t): int(i) for t, i in map(bytes.split, f)}, pattern)
 
-    def _last_merge(self, token: bytes, rank: int) -> tuple[int, int] | None:
+    def _last_merge(self, token: bytes, rank: int) -> tuple[int, int]:
+        """The two earlier tokens that merges join into ``token`` at last."""
         for n in range(len(token) - 1, 0, -1):
             a, b = self.ranks.get(token[:n], rank), self.ranks.get(token[n:], rank)
-            if a < rank and b < rank and self._buildable(a) and self._buildable(b) and self._side_by_side(a, b, rank):
+            if a < rank and b < rank and self._side_by_side(a, b, rank):
                 return a, b
-        return None
-
-    def _buildable(self, rank: int) -> bool:
-        return self.length[rank] == 1 or self.halves[rank] is not None
+        raise ValueError(f"these ranks aren't those of merges: no two earlier tokens make up {token!r}")
 
     def _side_by_side(self, a: int, b: int, bound: int) -> bool:
         """Whether merging keeps ``a`` and ``b`` apart, where merges from ``bound`` on don't count."""
@@ -105,8 +101,6 @@ class ByteBpe:
                 if not dead[end] and (not out or self.compatible(out[-1], token)):
                     break
                 token = shorter[token]
-                while token >= 0 and not self._buildable(token):
-                    token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at, token = end, longest[end]
@@ -150,27 +144,33 @@ def codec(path: str, pattern: str) -> ByteBpe:
     return _loaded[path, pattern]
 
 
-def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", digest: str = "") -> DataFrame:
     """``docs`` with column ``ids`` (array of int): the tokens of ``text``, null text as empty.
 
     ``path`` is the rank file's place on every machine. All other columns pass through, whatever their names; a column
-    named as ``ids`` is replaced. Empty texts give an empty array; repeated rows stay repeated.
+    named as ``ids`` is replaced. Empty texts give an empty array; repeated rows stay repeated. With ``digest`` a column
+    of that name has the SHA-256, in hex, of the bytes that the ids decode to.
     """
     small_batches(docs.sparkSession)
-    schema = docs.drop(ids).withColumn(ids, F.lit(None).cast("array<int>")).schema
+    docs = docs.drop(ids, *[digest] * bool(digest))
+    schema = docs.withColumn(ids, F.lit(None).cast("array<int>"))
+    schema = (schema.withColumn(digest, F.lit("")) if digest else schema).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for batch in batches:
-            values, offsets = [], [0]
+            values, offsets, digests = [], [0], []
             for t in batch.column(text):
                 values.append(packed := bpe.encode(t.as_py() or ""))
                 offsets.append(offsets[-1] + len(packed) // 4)
+                if digest:
+                    digests.append(hashlib.sha256(bpe.decode(packed)).hexdigest())
             flat = pa.array(np.frombuffer(b"".join(values), "<i4"), pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, ids])
+            more = [pa.array(digests, pa.string())] if digest else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, *more], names=schema.names)
 
-    return docs.drop(ids).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def bpe_decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

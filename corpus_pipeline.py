@@ -32,9 +32,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary()
-    ids = bpe.bpe_encode(docs.select("doc_id", "lang", "source", "text"), path, pattern).drop("text")
-    decoded = bpe.bpe_decode(ids, path, pattern)
-    return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    ids = bpe.bpe_encode(docs.select("doc_id", "lang", "source", "text"), path, pattern, digest="decoded_sha256")
+    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix", mix), ("encode", encode)]
