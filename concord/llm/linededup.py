@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import SPACE, WORD, cut
+from concord.llm.common import SPACE, WORD, Held, cut
 
 MIN_WORDS, LEAF = 5, 32
 BROADCAST_ROWS = 200_000  # of 16-byte line hashes
@@ -76,18 +76,18 @@ def _shared(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(several, key, "left_semi")
 
 
-def near_lines(docs: DataFrame, lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def near_lines(docs: DataFrame, lines: DataFrame, held: Held, min_words: int = MIN_WORDS) -> DataFrame:
     """line_hash of the lines of ``lines`` (line_hash, first, halves) within one edit of a line whose first place is earlier."""
     halves = lines.select("line_hash", F.explode(F.array_distinct("halves")).alias("half"))
-    wanted = cut(_shared(halves, "half").select("line_hash").distinct())
+    wanted = held(_shared(halves, "half").select("line_hash").distinct())
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     texts = lines_of(docs, min_words).join(wanted, "line_hash", "left_semi")
     texts = texts.groupBy("line_hash").agg(F.min(_at()).alias("first"), F.min("line").alias("line"))
-    texts = cut(texts)
+    texts = held(texts)
     holes = texts.select("line_hash", "first", F.explode(_holes(F.col("line"))).alias("h")).select("line_hash", "first", "h.*")
     holes = _shared(holes, "hole")
-    variants = cut(holes.select("line_hash", "first", "longer", F.explode(_variants()).alias("x")).select("line_hash", "first", "longer", "x.*"))
+    variants = held(holes.select("line_hash", "first", "longer", F.explode(_variants()).alias("x")).select("line_hash", "first", "longer", "x.*"))
     place = F.struct(F.col("first").alias("first"), F.col("line_hash").alias("line_hash"))
     earliest = variants.groupBy("variant", "replaced").agg(F.min(F.when(F.col("longer"), place)).alias("of_longer"), F.min(F.when(~F.col("longer"), place)).alias("of_shorter"))
     other = F.when(F.col("replaced") | ~F.col("longer"), F.col("of_longer")).otherwise(F.col("of_shorter"))
@@ -102,10 +102,11 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, pos, line_hash) of the lines that go."""
     each = lines_of(docs.select("doc_id", "text"), min_words)
     seen = each.select("line_hash", _at().alias("at"), _half_keys(F.col("line")).alias("halves"))
-    lines = cut(seen.groupBy("line_hash").agg(F.min("at").alias("first"), F.max("at").alias("final"), F.min("halves").alias("halves")))
-    near = near_lines(docs.select("doc_id", "text"), lines, min_words).withColumn("near", F.lit(True))
-    marked = lines.join(near, "line_hash", "left").where("near or first < final").select("line_hash", F.when(F.col("near").isNull(), F.col("first")).alias("stays"))
-    found = each.select("doc_id", "pos", "line_hash").join(cut(marked), "line_hash")
+    with Held() as held:
+        lines = held(seen.groupBy("line_hash").agg(F.min("at").alias("first"), F.max("at").alias("final"), F.min("halves").alias("halves")))
+        near = near_lines(docs.select("doc_id", "text"), lines, held, min_words).withColumn("near", F.lit(True))
+        marked = cut(lines.join(near, "line_hash", "left").where("near or first < final").select("line_hash", F.when(F.col("near").isNull(), F.col("first")).alias("stays")))
+    found = each.select("doc_id", "pos", "line_hash").join(marked, "line_hash")
     gone = F.col("stays").isNull() | ~F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) | (F.col("pos") != F.col("stays.pos"))
     return found.where(gone).select("doc_id", "pos", "line_hash")
 
