@@ -356,8 +356,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "one")
     docs = docs.select("doc_id", "text")
     signed = sign(docs, weights)
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_rows"), F.max("keys").alias("keys"), F.max("sketch").alias("sketch"))
-    nodes = cut(nodes)
     with Held() as held:
+        nodes = held(nodes)
         each = nodes.select(F.explode("keys").alias("key"), "node")
         shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         buckets = held(each.join(shared, "key"))
