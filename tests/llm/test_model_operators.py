@@ -106,6 +106,31 @@ def test_score_edge_cases(spark):
     assert suffixtree.score(frame.limit(0)).count() == 0
 
 
+def test_order_and_spelling_count(spark, sf_dir):
+    docs = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    free = iter(i for i in range(10**6) if suffixtree.held_out(i))
+    train = iter(i for i in range(10**6) if not suffixtree.held_out(i))
+    rng = random.Random(7)
+    whole, mixed, rows = set(), set(), []
+    for k, text in enumerate(docs):
+        if k % 7:
+            rows.append((next(train), text))
+            continue
+        words = text.split()
+        shuffled = rng.sample(words, len(words))
+        for ids, t in ((whole, " ".join(words)), (mixed, " ".join(shuffled))):
+            i = next(free)
+            ids.add(i)
+            rows.append((i, t))
+    plausible, noise = next(free), next(free)
+    rows += [(plausible, "thereander"), (noise, "xqzvkwjxqz")]
+    got = {r.doc_id: r for r in suffixtree.score(spark.createDataFrame(rows, TEXT)).collect()}
+    tokens = sum(got[i].n_tokens for i in whole)
+    assert sum(got[i].score for i in whole) - sum(got[i].score for i in mixed) > 0.08 * tokens
+    assert sum(got[i].score for i in whole) > sum(got[i].base_score for i in whole)
+    assert got[plausible].n_known == got[noise].n_known == 1 and got[plausible].score > got[noise].score + 0.2
+
+
 # near duplicates
 
 
