@@ -2,7 +2,7 @@
 
 A line is ``label | confidence | keyword | pattern``. Patterns read a text's lower-case words with one space between
 them; they are regular expressions of the kind that Java and RE2 read alike. A rule is tried only where its keyword
-stands in the text. Of overlapping detections those contained in one of an earlier rule are dropped, so long
+starts a word of the text, so each alternative of a pattern holds the keyword. Of overlapping detections those contained in one of an earlier rule are dropped, so long
 signatures stand before short ones.
 """
 
@@ -16,7 +16,7 @@ apache-2.0 | 0.97 | apache | (?:licensed|released|distributed|available) under (
 apache-2.0 | 0.97 | apache | www apache org licenses license 2 0(?: txt| html)?
 apache-2.0 | 0.95 | apache | apache (?:software )?license (?:version |v)?2(?: 0)?
 apache-2.0 | 0.90 | apache | (?:asl|al) 2 0 apache
-apache-2.0 | 0.90 | contributor | grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce
+apache-2.0 | 0.90 | royalty | grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce
 apache-1.1 | 0.98 | apache | the apache software license version 1 1
 apache-1.1 | 0.95 | apache | this product includes software developed by the apache software foundation
 apache-1.0 | 0.95 | apache | apache (?:group )?license version 1 0
@@ -132,7 +132,8 @@ bsd-2-clause | 0.95 | bsd | bsd 2 clause(?: [a-z]+)? license
 bsd-2-clause | 0.95 | bsd | (?:simplified|freebsd|2 clause|two clause) bsd license
 bsd-2-clause | 0.93 | opensource | opensource org licenses bsd 2 clause
 bsd-2-clause | 0.85 | bsd | bsd 2 clause
-0bsd | 0.95 | bsd | (?:zero clause bsd|0bsd|bsd zero clause)(?: license)?
+0bsd | 0.95 | bsd | (?:zero clause bsd|bsd zero clause)(?: license)?
+0bsd | 0.95 | 0bsd | 0bsd(?: license)?
 bsd | 0.90 | redistribution | redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
 bsd | 0.80 | bsd | (?:licensed|released|distributed) under (?:the|a) bsd(?: style)?(?: license)?
 bsd | 0.65 | bsd | bsd (?:style )?license
@@ -160,12 +161,15 @@ epl | 0.80 | eclipse | eclipse public license
 edl-1.0 | 0.95 | eclipse | eclipse distribution license(?: version| v)?(?: 1 0)?
 cpl-1.0 | 0.95 | common | common public license(?: version| v)?(?: 1 0)?
 ipl-1.0 | 0.95 | ibm | ibm public license(?: version| v)?(?: 1 0)?
-cddl-1.1 | 0.97 | cddl | (?:cddl|common development and distribution license) (?:version |v ?)?1 1
+cddl-1.1 | 0.97 | cddl | cddl (?:version |v ?)?1 1
+cddl-1.1 | 0.97 | development | common development and distribution license (?:version |v ?)?1 1
 cddl-1.0 | 0.97 | development | common development and distribution license(?: cddl)?(?: version| v)? 1 0
 cddl | 0.85 | development | common development and distribution license
 cddl | 0.70 | cddl | (?:licensed|released) under (?:the )?cddl
-eupl-1.2 | 0.97 | eupl | (?:eupl|european union public licen[cs]e) (?:version |v ?)?1 2
-eupl-1.1 | 0.97 | eupl | (?:eupl|european union public licen[cs]e) (?:version |v ?)?1 1
+eupl-1.2 | 0.97 | eupl | eupl (?:version |v ?)?1 2
+eupl-1.2 | 0.97 | european | european union public licen[cs]e (?:version |v ?)?1 2
+eupl-1.1 | 0.97 | eupl | eupl (?:version |v ?)?1 1
+eupl-1.1 | 0.97 | european | european union public licen[cs]e (?:version |v ?)?1 1
 eupl | 0.85 | european | european union public licen[cs]e
 bsl-1.0 | 1.00 | identifier | spdx license identifier bsl 1 0
 bsl-1.0 | 0.97 | boost | (?:distributed under the )?boost software license(?: version)?(?: 1 0)?
@@ -201,7 +205,8 @@ ofl-1.1 | 1.00 | identifier | spdx license identifier ofl 1 1
 ofl-1.1 | 0.97 | font | (?:sil )?open font license(?: version)?(?: 1 1)?
 odbl-1.0 | 0.97 | database | open (?:data commons open )?database license(?: v| version)?(?: 1 0)?
 odbl-1.0 | 0.90 | odbl | (?:licensed under )?(?:the )?odbl(?: 1 0)?
-odc-by-1.0 | 0.95 | odc | (?:odc by|open data commons attribution license)(?: v| version)?(?: 1 0)?
+odc-by-1.0 | 0.95 | odc | odc by(?: v| version)?(?: 1 0)?
+odc-by-1.0 | 0.95 | commons | open data commons attribution license(?: v| version)?(?: 1 0)?
 pddl-1.0 | 0.95 | dedication | public domain dedication and license(?: pddl)?
 ogl-3.0 | 0.95 | government | open government licen[cs]e(?: version| v)?(?: 3 0)?
 ncsa | 0.95 | ncsa | (?:university of illinois )?ncsa open source license
@@ -217,7 +222,9 @@ qpl-1.0 | 0.90 | public | (?:the )?q public license(?: version)?(?: 1 0)?
 sleepycat | 0.90 | sleepycat | sleepycat license
 beerware | 0.95 | beer | the beer ?ware license
 json | 0.95 | evil | the software shall be used for good not evil
-openrail | 0.95 | rail | (?:open ?rail|responsible ai license)(?: m| s)?
+openrail | 0.95 | rail | open rail(?: m| s)?
+openrail | 0.95 | openrail | openrail(?: m| s)?
+openrail | 0.95 | responsible | responsible ai license(?: m| s)?
 llama-community | 0.95 | llama | llama [1-9](?: [0-9])? community license(?: agreement)?
 public-domain | 0.85 | domain | (?:this (?:work|file|code|document|text) is |is hereby |released |placed |dedicated )(?:in|into|to) the public domain
 public-domain | 0.70 | domain | public domain mark(?: 1 0)?

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from re import _parser
 
 import pytest
 from oracle import assert_same
@@ -88,6 +89,52 @@ def test_labels(spark, text, labels):
     assert row.labels == labels and (row.score > 0) == bool(labels) and row.score <= 1
 
 
+def expanded(tree):
+    """Texts that a parsed pattern names: every alternative, with and without what is optional."""
+    texts = [""]
+    for op, of in tree:
+        match str(op):
+            case "LITERAL":
+                each = [chr(of)]
+            case "NOT_LITERAL":
+                each = ["x"]
+            case "IN":
+                each = [chr(x if str(kind) == "LITERAL" else x[0]) for kind, x in of]
+            case "SUBPATTERN":
+                each = expanded(of[3])
+            case "BRANCH":
+                each = [x for branch in of[1] for x in expanded(branch)]
+            case "MAX_REPEAT":
+                least, most, inner = of
+                each = [x * k for x in expanded(inner) for k in {least, min(int(most), max(least, 1))}]
+        texts = [t + x for t in texts for x in each]
+    return texts
+
+
+def test_every_alternative_holds_its_keyword():
+    for _, label, _, keyword, pattern in rules():
+        for text in expanded(_parser.parse(pattern)):
+            assert f" {keyword}" in text, (label, keyword, text)
+
+
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("model under OpenRAIL-M", "openrail"),
+        ("a Responsible AI License", "openrail"),
+        ("0BSD license", "0bsd"),
+        ("Open Data Commons Attribution License v1.0", "odc-by-1.0"),
+        ("Common Development and Distribution License 1.1", "cddl-1.1"),
+        ("European Union Public Licence 1.2", "eupl-1.2"),
+        ("European Union Public License v1.1", "eupl-1.1"),
+        ("grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce", "apache-2.0"),
+    ],
+)
+def test_labels_without_another_keyword(spark, text, labels):
+    (row,) = scan(spark, text)
+    assert row.labels == labels
+
+
 def test_places(spark):
     a, b, c = scan(spark, "MIT license mit LICENSE, mit-license", "x general public  license", "é " * 20_000 + "apache license")
     assert (a.n_words, a.n_base, a.first_word, a.last_word, a.base_labels) == (6, 3, 0, 4, "mit")
