@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from concord.llm.common import SPACE, WORD, Held, cut
 
-MIN_WORDS, LEAF = 5, 32
+MIN_WORDS, LEAF = 1, 32
 BROADCAST_ROWS = 200_000  # of 16-byte line hashes
 
 

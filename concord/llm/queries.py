@@ -57,7 +57,7 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_report(read(spark, sf_dir, "documents"))
+    return linededup.line_report(read(spark, sf_dir, "documents"), min_words=5)  # as its SQL has it
 
 
 QUERIES = {"op1_chat": op1_chat, "op2_score": op2_score, "op3_quality": op3_quality, "op4_neardup": op4_neardup, "op5_topk": op5_topk, "op6_bpe": op6_bpe, "op7_warc": op7_warc, "op8_license": op8_license, "op9_mix": op9_mix, "op10_lines": op10_lines}

@@ -266,6 +266,14 @@ def test_lines_with_null_ids(spark):
     assert {r.doc_id: list(r.removed) for r in linededup.line_report(frame).collect()} == {None: [0], 7: []}
 
 
+def test_lines_of_few_words_go(spark):
+    unsegmented = "東京都は日本の首都であり" * 10
+    rows = [(1, unsegmented + "\nread more\n\n"), (2, "read more\n" + unsegmented), (3, unsegmented[:-1] + "\n\nanother one")]
+    frame = spark.createDataFrame(rows, TEXT)
+    assert {r.doc_id: list(r.removed) for r in linededup.line_report(frame).collect()} == {1: [], 2: [0, 1], 3: [0]}
+    assert {r.doc_id: r.text for r in linededup.drop_repeated_lines(frame).collect()} == {1: rows[0][1], 2: "", 3: "\nanother one"}
+
+
 def test_native_plans(spark, sf_dir):
     for name in ("op8_license", "op9_mix", "op10_lines"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
