@@ -2,7 +2,8 @@
 
 Metrics of a text are counted once; each language and source has a quantile sketch of each metric, a table of bucket
 counts (buckets of equal width below 64, of 1/32 relative width above), which merges by addition. A document fails where a
-metric lies outside the fences that its own language and source set; small groups use their language's fences, small
+metric lies outside the fences that its own language and source set, by quartiles, or by the median and the 95th
+percentile for metrics that are mostly 0; small groups use their language's fences, small
 languages everyone's.
 """
 
@@ -29,6 +30,8 @@ METRICS = {
     "repeats": ("n_repeat_words * 1000 div n_words", 300, False),
 }
 SPREAD = 4  # quartile ranges between a quartile and its fence
+#: Metrics that are 0 in most texts, whose quartiles say nothing, and the slack beyond a fence of their upper quantile.
+TAILS = {"symbols": 100, "dup_lines": 100, "repeats": 100}
 
 
 def count_text(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -107,16 +110,22 @@ def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     up_to = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     ranked = merged.select(*keys, "metric", "bucket", up_to.alias("up_to"), F.sum("n").over(group).alias("total"))
     at = lambda m, q: bucket_floor(F.min(F.when((F.col("metric") == m) & (F.col("up_to") * 4 >= F.col("total") * q), F.col("bucket")))).alias(f"q{q}_{m}")
-    return ranked.groupBy(*keys).agg(F.max("total").alias("n"), *(at(m, q) for m in METRICS for q in (1, 3)))
+    tail = lambda m, p: bucket_floor(F.min(F.when((F.col("metric") == m) & (F.col("up_to") * 100 >= F.col("total") * p), F.col("bucket")))).alias(f"p{p}_{m}")
+    return ranked.groupBy(*keys).agg(F.max("total").alias("n"), *(at(m, q) for m in METRICS for q in (1, 3)), *(tail(m, p) for m in TAILS for p in (50, 95)))
 
 
-def fences(sketch: DataFrame) -> DataFrame:
-    """One row for each (lang, source): low_<metric> and high_<metric>, from the smallest group around it of MIN_GROUP."""
+def fences(sketch: DataFrame, tails: bool = True) -> DataFrame:
+    """One row for each (lang, source): low_<metric> and high_<metric>, from the smallest group around it of MIN_GROUP.
+
+    Without ``tails`` the metrics of TAILS have fences of quartiles too.
+    """
     sketch = cut(sketch)
     limits = {}
     for m, (_, slack, lower) in METRICS.items():
         width = SPREAD * (F.col(f"q3_{m}") - F.col(f"q1_{m}")) + slack
         limits[f"high_{m}"] = F.col(f"q3_{m}") + width
+        if tails and m in TAILS:
+            limits[f"high_{m}"] = 2 * F.col(f"p95_{m}") - F.col(f"p50_{m}") + TAILS[m]
         if lower:
             limits[f"low_{m}"] = F.col(f"q1_{m}") - width
 
@@ -148,14 +157,14 @@ def verdicts(counted: DataFrame, limits: DataFrame) -> DataFrame:
     return joined.select(*[f"`{c}`" for c in counted.columns], base_failed().alias("base_failed"), (~base_failed() & ~outside).alias("kept"))
 
 
-def quality_metrics(docs: DataFrame) -> DataFrame:
+def quality_metrics(docs: DataFrame, tails: bool = True) -> DataFrame:
     """doc_id, COUNTS, base_failed and kept of each row of ``docs`` (doc_id, text, lang, source).
 
     Null text has no words and fails; null lang and source are groups of their own; repeated rows count each. Other
     columns are not read.
     """
     counted = cut(with_counts(docs.select("doc_id", "text", "lang", "source"), keep_text=False))
-    return verdicts(counted, fences(sketches(counted))).drop("lang", "source")
+    return verdicts(counted, fences(sketches(counted), tails)).drop("lang", "source")
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def op2_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_metrics(read(spark, sf_dir, "documents")).drop("n_lines")
+    return quality.quality_metrics(read(spark, sf_dir, "documents"), tails=False).drop("n_lines")  # fences as its SQL has them
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

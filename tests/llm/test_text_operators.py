@@ -200,6 +200,20 @@ def test_adaptive_verdicts(spark):
     assert quality.quality_metrics(frame.limit(0)).count() == 0 and quality.quality_filter(frame.limit(0)).count() == 0
 
 
+def test_fences_follow_metrics_that_are_mostly_zero(spark):
+    rng = random.Random(8)
+
+    def lines(repeated):
+        return "\n".join([clean(rng, 8) for _ in range(10 - repeated)] + [clean(rng, 8)] * 1) + "\n" + "\n".join(["xy " + clean(random.Random(1), 1)] * repeated)
+
+    rows = [(i, lines(0), "en", "rare") for i in range(300)] + [(300 + i, lines(4), "en", "rare") for i in range(5)]
+    rows += [(1000 + i, lines(4 if i % 5 == 0 else 0), "en", "often") for i in range(300)]
+    got = {r.doc_id: r for r in quality.quality_metrics(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in got.values()) and got[300].n_dup_lines == got[1000].n_dup_lines == 3
+    assert all(got[i].kept == (i < 300) for i in range(305))  # outliers where others have no repeated lines
+    assert all(got[1000 + i].kept for i in range(300))  # and not where they are usual
+
+
 # line dedup
 
 
