@@ -3,24 +3,65 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: For each open ``scratch``, the tables that were cut inside it: (table, its checkpoint's path).
+_open: list[list[tuple[DataFrame, str]]] = []
+
+
+def _checkpoint_folder(spark: SparkSession) -> None:
+    """See that there is one: ``spark.checkpoint.dir``, or on one machine (tests) a temporary folder."""
+    context = spark.sparkContext
+    if spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() is not None:
+        return
+    if context.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster reaches")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="concord-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder that the cluster shares and go on from there.
 
-    The folder is ``spark.checkpoint.dir``; one is made only where that is unset (tests on one machine). Small tables are
-    written as few files: partitions are merged up to the advisory size, and to four for each core at most.
+    Partitions are those of its last stage: after a shuffle as many as their bytes ask for (adaptive execution), after
+    a scan one for each split. RuntimeError where a cluster has no such folder.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="concord-checkpoint-"))
-    key = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+    _checkpoint_folder(df.sparkSession)
+    written = df.checkpoint()
+    if _open and (path := checkpoint_path(written)):
+        _open[-1].append((written, path))
+    return written
+
+
+def checkpoint_path(df: DataFrame) -> str | None:
+    """Where the table of a ``cut`` lies."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    return file.get() if file.isDefined() else None
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``cut`` has written and that nothing reads any more."""
+    if path := checkpoint_path(df):
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(*keep: DataFrame) -> Iterator[list[DataFrame]]:
+    """Delete all tables cut inside, at the end, but those in the list that this gives (and ``keep``)."""
+    kept = list(keep)
+    _open.append([])
     try:
-        return df.coalesce(4 * context.defaultParallelism).checkpoint()
+        yield kept
     finally:
-        spark.conf.set(key, before)
+        for df, path in _open.pop():
+            if not any(df is k for k in kept):
+                _delete(df.sparkSession, path)
+            elif _open:
+                _open[-1].append((df, path))
