@@ -33,10 +33,15 @@ class Held:
             df.unpersist()
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the Arrow batches of Python stages, so that very long texts don't meet in one batch of 10,000."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Bound the Arrow batches of Python stages by bytes, so that very long texts don't meet in one.
+
+    It is a setting of the session, as a stage reads it when it runs; a smaller one is left as it is.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= size:
+        spark.conf.set(key, f"{size}b")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

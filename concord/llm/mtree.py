@@ -213,7 +213,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     the smaller vec_id. Without vectors or queries there are no rows. Scores are 64-bit numbers.
     """
     spark = vectors.sparkSession
-    small_batches(spark, 2048)
+    small_batches(spark)
     trees = cut(_blocks(_valid(vectors), TREE).withColumn("part", F.monotonically_increasing_id()))
     asked = cut(_blocks(_valid(queries).distinct(), BLOCK))
     parts = max(1, min(spark.sparkContext.defaultParallelism * 4, trees.count()))

@@ -206,7 +206,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
     payload_bytes and payload_digest (lower-case hex) are of the full payload; a revisit has no payload of its own.
     """
-    small_batches(archives.sparkSession, 16)
+    small_batches(archives.sparkSession)
     names = [x.split()[0] for x in RECORD.split(", ")]
 
     def rows(path: str, content: bytes) -> Iterator[tuple]:

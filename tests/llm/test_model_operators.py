@@ -5,61 +5,61 @@ import hashlib
 import math
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from concord.llm import bpe, mixing, mtree, suffixtree, warc
+from concord.llm import bpe, mixing, mtree, spelling, suffixtree, warc
 from concord.llm import probminhash as pm
 from concord.llm.queries import QUERIES, vocabulary
 
 TEXT = "doc_id long, text string"
 
 
-# suffix tree
+# suffix trees
 
 
-def small_tree(texts, least=1e-9):
-    keys, n = np.unique(suffixtree.sequences(texts), return_counts=True)
+def small_tree(words):
+    keys, n = np.unique(spelling.sequences(words), return_counts=True)
     parts = []
-    for d in range(suffixtree.DEPTH + 1):
+    for d in range(spelling.DEPTH + 1):
         packed, at = np.unique(keys & np.uint64((1 << 8 * (d + 1)) - 1), return_inverse=True)
         parts.append((np.full(len(packed), d), packed >> np.uint64(8), (packed & np.uint64(255)).astype(int), np.bincount(at, n)))
-    return suffixtree.SuffixTree.build(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    return spelling.SuffixTree.build(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
-def follow_slowly(tree, text):
-    """Token scores one symbol at a time."""
-    state, out, now = 0, [], 0.0
-    for b in bytes([suffixtree.END]) * suffixtree.DEPTH:
+def follow_slowly(tree, word):
+    """The spelling one symbol at a time."""
+    state, now = 0, 0.0
+    for b in bytes([spelling.END]) * spelling.DEPTH:
         state = tree.follow[state, tree.symbol[b]]
-    for b in text + bytes([suffixtree.END]):
+    for b in word + bytes([spelling.END]):
         now += tree.log10[state, tree.symbol[b]]
         state = tree.follow[state, tree.symbol[b]]
-        if b in (suffixtree.GAP, suffixtree.END):
-            out.append(now)
-            now = 0.0
-    return out
+    return now
 
 
-def test_lockstep_equals_one_symbol_at_a_time():
+def test_lockstep_equals_one_symbol_at_a_time(monkeypatch):
     rng = random.Random(5)
-    texts = [suffixtree.normal(" ".join(rng.choice(["the", "theory", "a", "bee", "been", "ö"]) for _ in range(rng.randint(0, 60)))) for _ in range(120)]
-    tree = small_tree(texts)
+    words = ["".join(rng.choices(["the", "xab1", "yab2", "bee", "been", "ö"], k=rng.randint(0, 9))).encode() for _ in range(900)]
+    tree = small_tree(words)
     assert tree.depths.max() >= 3
-    want = [x for t in texts for x in follow_slowly(tree, t)]
-    assert np.allclose(tree.spell(texts), want, atol=1e-4)
+    want = [follow_slowly(tree, w) for w in words]
+    assert np.allclose(tree.spell(words), want, atol=1e-4)
+    monkeypatch.setattr(spelling, "LONG", 7)
+    assert np.allclose(tree.spell(words), want, atol=1e-4)
     assert np.allclose((10.0 ** tree.log10[:, :-1].astype(float)).sum(axis=1) + (256 - tree.symbol.max()) * 10.0 ** tree.log10[:, -1], 1, atol=1e-4)
 
 
 def test_states_are_longest_suffixes():
-    texts = [suffixtree.normal("abra cadabra abra " * 30), suffixtree.normal("bra bra cad " * 40)]
-    tree = small_tree(texts)
+    words = [b"abracadabra", b"abra", b"abrabra"] * 30 + [b"brabra", b"cadbracad"] * 40
+    tree = small_tree(words)
     lookup = {}  # context bytes of a state, found by walking
     todo = [(0, b"")]
     while todo:
@@ -67,23 +67,121 @@ def test_states_are_longest_suffixes():
         if state in lookup and len(lookup[state]) <= len(seen):
             continue
         lookup[state] = seen
-        if len(seen) < suffixtree.DEPTH:
-            todo += [(int(tree.follow[state, tree.symbol[b]]), (seen + bytes([b]))) for b in b"abrcd \n" if tree.depths[tree.follow[state, tree.symbol[b]]] == len(seen) + 1]
+        if len(seen) < spelling.DEPTH:
+            todo += [(int(tree.follow[state, tree.symbol[b]]), (seen + bytes([b]))) for b in b"abrcd\n" if tree.depths[tree.follow[state, tree.symbol[b]]] == len(seen) + 1]
     contexts = {v: k for k, v in lookup.items() if len(v) == tree.depths[k]}
     rng = random.Random(6)
     state, history = 0, b""
     for _ in range(400):
-        b = rng.choice(b"abrcd \n")
+        b = rng.choice(b"abrcd\n")
         history += bytes([b])
         state = int(tree.follow[state, tree.symbol[b]])
-        best = next(history[len(history) - n :] for n in range(min(suffixtree.DEPTH, len(history)), -1, -1) if history[len(history) - n :] in contexts)
+        best = next(history[len(history) - n :] for n in range(min(spelling.DEPTH, len(history)), -1, -1) if history[len(history) - n :] in contexts)
         assert state == contexts[best]
 
 
+def tokens_of(text):
+    return [w.translate(suffixtree.LOWER) for w in (text or "").encode().split()] + [suffixtree.END]
+
+
+def is_held_out(id):
+    return zlib.crc32(("" if id is None else str(id)).encode()) % 7 == 2
+
+
+def brute_scores(docs, penalty=0.5):
+    """Scores of (id, text), by dictionaries."""
+    train = [tokens_of(t) for i, t in docs if not is_held_out(i)]
+    tree = small_tree(sorted({w for t in train for w in t[:-1]}))
+    follow = [defaultdict(Counter) for _ in range(suffixtree.DEPTH + 1)]
+    for t in train:
+        t = [suffixtree.BEGIN, *t]
+        for i in range(1, len(t)):
+            for d in range(min(i, suffixtree.DEPTH) + 1):
+                follow[d][tuple(t[i - d : i])][t[i]] += 1
+    root = follow[0][()]
+    n, kinds = sum(root.values()), len(root)
+    share = lambda c, s: follow[len(c)][c][s] / sum(follow[len(c)][c].values())
+    kept = set()
+    for d in range(1, suffixtree.DEPTH + 1):
+        for c, after in follow[d].items():
+            total = sum(after.values())
+            gain = sum(k * math.log(share(c, s) / share(c[1:], s)) for s, k in after.items())
+            if gain > penalty * len(after) * math.log1p(total):
+                kept.add(c)
+
+    def p(c, s):
+        if not c:
+            return (root[s] if s in root else max(kinds, 1)) / (n + max(kinds, 1))
+        if c not in kept:
+            return p(c[1:], s)
+        after = follow[len(c)][c]
+        more = suffixtree.SMOOTH * len(after)
+        return (after[s] + more * p(c[1:], s)) / (sum(after.values()) + more)
+
+    for c in [(), *sorted(kept)[:50]]:  # all known tokens, and the unknown ones' spellings together
+        assert math.fsum(p(c, s) for s in root) + p(c, None) == pytest.approx(1)
+    out = []
+    for i, text in docs:
+        t = [suffixtree.BEGIN, *tokens_of(text)]
+        logs = [math.log10(p(tuple(t[max(0, k - suffixtree.DEPTH) : k]), t[k])) + (0 if t[k] in root else follow_slowly(tree, t[k])) for k in range(1, len(t))]
+        out.append((i, sum(logs)))
+    return out, len(kept)
+
+
+def invented(rng, n):
+    words = ["".join(rng.choices("abcdefg", k=rng.randint(1, 6))) for _ in range(60)]
+    return [(i, " ".join(rng.choices(words, weights=range(60, 0, -1), k=rng.randint(0, 80))) + (" Zz" + str(i) if i % 3 else "")) for i in range(n)]
+
+
+@pytest.mark.parametrize("chunk", [1 << 22, 90])
+def test_scores_against_brute_force(spark, monkeypatch, chunk):
+    """In batches of a few texts, too, with texts in several pieces."""
+    docs = invented(random.Random(3), 60)
+    docs += [(100, None), (101, ""), (102, docs[5][1]), (None, docs[7][1]), (103, "q\0r \x1c é"), (104, "ab " * 400)]
+    for i in (3, 17):  # a held-out copy of a text
+        docs.append((next(k for k in range(1000, 2000) if is_held_out(k) and k not in dict(docs)), docs[i][1]))
+    batches = spark.createDataFrame(docs, TEXT)
+    if chunk < 1000:
+        monkeypatch.setattr(suffixtree, "CHUNK", chunk)
+        assert sum(1 for _ in suffixtree._slices("ab " * 400)) > 8
+        pieces = suffixtree.pack_texts  # workers import the module anew, so batches are made here
+        monkeypatch.setattr(suffixtree, "pack_texts", lambda d: spark.createDataFrame(pa.Table.from_batches(_here(pieces, d, docs))))
+    got = sorted(((r.doc_id, r.score) for r in suffixtree.score(batches).collect()), key=str)
+    want, kept = brute_scores(docs)
+    assert kept > 50
+    for (i, x), (j, y) in zip(got, sorted(want, key=str), strict=True):
+        assert i == j and x == pytest.approx(y, rel=1e-4, abs=1e-3)
+
+
+def _here(pieces, frame, docs):
+    """Batches of ``docs`` made in this process."""
+    number, held = 0, suffixtree._Batch()
+    for row, (i, text) in enumerate(docs):
+        lead, flags = [suffixtree.BEGIN], (0 if is_held_out(i) else suffixtree.TRAIN) | suffixtree.FIRST
+        for words, last in suffixtree._slices(text):
+            held.add(row, i, flags, lead, [*words, suffixtree.END] if last else words)
+            lead, flags = (lead + words)[-suffixtree.DEPTH :], flags & ~suffixtree.FIRST
+            if held.held >= suffixtree.CHUNK:
+                yield held.done(number, pa.int64())
+                number, held = number + 1, suffixtree._Batch()
+    if held.rows:
+        yield held.done(number, pa.int64())
+
+
+def test_an_empty_tree_scores_otherwise(spark):
+    docs = invented(random.Random(4), 80)
+    frame = spark.createDataFrame(docs, TEXT)
+    full, empty = ({r.doc_id: r for r in suffixtree.score(frame, p).collect()} for p in (0.5, math.inf))
+    assert all(r.mean_depth == 0 for r in empty.values()) and any(r.mean_depth > 1 for r in full.values())
+    for i, want in brute_scores(docs, math.inf)[0]:
+        assert empty[i].score == pytest.approx(want, rel=1e-4)
+    assert all(abs(full[i].score - empty[i].score) > 1e-3 for i, t in docs if t)
+
+
 def test_scores(spark, sf_dir):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
-    words = {i: [w.translate(suffixtree.LOWER) for w in (t or "").encode().split()] for i, t in docs.items()}
-    train = [i for i in docs if zlib.crc32(str(i).encode()) % 7 != 2]
+    words = {i: tokens_of(t)[:-1] for i, t in docs.items()}
+    train = [i for i in docs if not is_held_out(i)]
     counts = Counter(w for i in train for w in words[i])
     n, v = sum(counts.values()) + len(train), len(counts) + 1
     rows = QUERIES["op2_score"](spark, sf_dir).collect()
@@ -104,12 +202,17 @@ def test_score_edge_cases(spark):
     assert len(got) == 7 and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)
     assert {r.n_tokens for r in got if r.doc_id == 2} == {60_001}
     assert suffixtree.score(frame.limit(0)).count() == 0
+    held = next(k for k in range(100) if is_held_out(k))
+    (alone,) = suffixtree.score(spark.createDataFrame([(held, "never trained")], TEXT)).collect()
+    assert (alone.n_known, alone.train_tokens) == (0, 0) and math.isfinite(alone.score)
+    (named,) = suffixtree.score(spark.createDataFrame([("a", "x y")], "doc_id string, text string")).collect()
+    assert named.doc_id == "a" and named.n_tokens == 3
 
 
 def test_order_and_spelling_count(spark, sf_dir):
     docs = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
-    free = iter(i for i in range(10**6) if suffixtree.held_out(i))
-    train = iter(i for i in range(10**6) if not suffixtree.held_out(i))
+    free = iter(i for i in range(10**6) if is_held_out(i))
+    train = iter(i for i in range(10**6) if not is_held_out(i))
     rng = random.Random(7)
     whole, mixed, rows = set(), set(), []
     for k, text in enumerate(docs):
