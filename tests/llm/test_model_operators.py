@@ -106,7 +106,7 @@ def brute_scores(docs, penalty=0.5):
         for c, after in follow[d].items():
             total = sum(after.values())
             gain = sum(k * math.log(share(c, s) / share(c[1:], s)) for s, k in after.items())
-            if gain > penalty * len(after) * math.log1p(total):
+            if gain > 1e-9 and gain > (penalty * len(after) * math.log(total) if total > 1 else 0 if penalty < math.inf else penalty):
                 kept.add(c)
 
     def p(c, s):
