@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -52,6 +53,15 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files that only dropped tables need, before the next step writes its own.
+
+    Spark deletes them once the driver's garbage collector has seen that nothing refers to them, which may take long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def scratch(*keep: DataFrame) -> Iterator[list[DataFrame]]:
     """Delete all tables cut inside, at the end, but those in the list that this gives (and ``keep``)."""
