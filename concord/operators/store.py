@@ -36,6 +36,20 @@ def cut(df: DataFrame) -> DataFrame:
     return written
 
 
+def cut_dealt(df: DataFrame) -> DataFrame:
+    """``cut`` of a table whose last step is a shuffle by key: joins and groups by that key needn't deal it again.
+
+    Adaptive execution would hide how the table is dealt, so it is off while this one table is written.
+    """
+    spark, key = df.sparkSession, "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return cut(df)
+    finally:
+        spark.conf.set(key, before)
+
+
 def checkpoint_path(df: DataFrame) -> str | None:
     """Where the table of a ``cut`` lies."""
     file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
