@@ -2,9 +2,10 @@
 
 Metrics of a text are counted once; each language and source has a quantile sketch of each metric, a table of bucket
 counts (buckets of equal width below 64, of 1/32 relative width above), which merges by addition. A document fails where a
-metric lies outside the fences that its own language and source set, by quartiles, or by the median and the 95th
-percentile for metrics that are mostly 0; small groups use their language's fences, small
-languages everyone's.
+metric lies outside the fences that its own language and source set: some quartile ranges beyond the quartiles for the
+length of words; for metrics that are 0 in most texts, as far beyond an upper quantile as that lies above the median.
+Fences of small groups are drawn towards their language's, those of small languages towards everyone's, by a weight that
+falls steadily as the group grows.
 """
 
 from __future__ import annotations
@@ -17,21 +18,23 @@ from pyspark.sql import functions as F
 
 from concord.llm.common import cut, small_batches
 
-MIN_WORDS, MAX_REPEAT_PERCENT, MIN_GROUP = 50, 50, 200
+MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 BROADCAST_ROWS = 50_000  # groups: a few hundred bytes each
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
+SIZES = ("n_words", "n_lines")  # whose medians say how large a group's texts are
 
-#: Metric: (1000 times its value from the counts, slack beyond the quartiles in the same unit, lower fence too).
+#: Metric: (1000 times its value from the counts, two percentiles, the count that it is a rate of or None). With None
+#: both sides have a fence beyond the percentiles; else the upper one, as far beyond the second as that from the first.
 METRICS = {
-    "word_length": ("word_chars * 1000 div n_words", 2000, True),
-    "symbols": ("n_symbols * 1000 div n_words", 300, False),
-    "dup_lines": ("n_dup_lines * 1000 div n_lines", 400, False),
-    "repeats": ("n_repeat_words * 1000 div n_words", 300, False),
+    "word_length": ("word_chars * 1000 div n_words", (25, 75), None),
+    "symbols": ("n_symbols * 1000 div n_words", (50, 90), "n_words"),
+    "dup_lines": ("n_dup_lines * 1000 div n_lines", (50, 98), "n_lines"),
+    "repeats": ("n_repeat_words * 1000 div n_words", (50, 98), "n_words"),
 }
 SPREAD = 4  # quartile ranges between a quartile and its fence
-#: Metrics that are 0 in most texts, whose quartiles say nothing, and the slack beyond a fence of their upper quantile.
-TAILS = {"symbols": 100, "dup_lines": 100, "repeats": 100}
+EVENTS = 2  # of them in a text of the group's median size are never too many
+PRIOR = 200  # documents that a language's fences weigh as much as in its groups
 
 
 def count_text(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -98,49 +101,63 @@ def bucket_floor(b: Column) -> Column:
 
 def sketches(counted: DataFrame) -> DataFrame:
     """(lang, source, metric, bucket, n) over documents that the base rules keep; adding n merges sketches."""
-    pairs = F.array(*(F.struct(F.lit(m).alias("metric"), bucket(_metric(m)).alias("bucket")) for m in METRICS))
+    values = {m: _metric(m) for m in METRICS} | {c: F.col(c) for c in SIZES}
+    pairs = F.array(*(F.struct(F.lit(m).alias("metric"), bucket(v).alias("bucket")) for m, v in values.items()))
     each = counted.where(~base_failed()).select("lang", "source", F.explode(pairs).alias("x"))
     return each.groupBy("lang", "source", F.col("x.metric").alias("metric"), F.col("x.bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each group: n, and q1_<metric> and q3_<metric>, exact to a bucket."""
+def _own_fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each group: n, and low_<metric> and high_<metric> from its own quantiles, exact to a bucket."""
     merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "metric")
     up_to = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     ranked = merged.select(*keys, "metric", "bucket", up_to.alias("up_to"), F.sum("n").over(group).alias("total"))
-    at = lambda m, q: bucket_floor(F.min(F.when((F.col("metric") == m) & (F.col("up_to") * 4 >= F.col("total") * q), F.col("bucket")))).alias(f"q{q}_{m}")
-    tail = lambda m, p: bucket_floor(F.min(F.when((F.col("metric") == m) & (F.col("up_to") * 100 >= F.col("total") * p), F.col("bucket")))).alias(f"p{p}_{m}")
-    return ranked.groupBy(*keys).agg(F.max("total").alias("n"), *(at(m, q) for m in METRICS for q in (1, 3)), *(tail(m, p) for m in TAILS for p in (50, 95)))
+    wanted = {(m, q) for m, (_, percents, _) in METRICS.items() for q in percents} | {(c, 50) for c in SIZES}
+    at = lambda m, q: F.min(F.when((F.col("metric") == m) & (F.col("up_to") * 100 >= F.col("total") * q), F.col("bucket")))
+    found = ranked.groupBy(*keys).agg(F.max("total").alias("n"), *(at(m, q).alias(f"{m}_{q}") for m, q in sorted(wanted)))
+    value = lambda m, q: bucket_floor(F.col(f"{m}_{q}"))
+    limits = {}
+    for m, (_, (low, high), size) in METRICS.items():
+        if size is None:
+            # the sketch can't tell quartiles apart that lie in one bucket
+            width = SPREAD * (bucket_floor(F.col(f"{m}_{high}") + 1) - value(m, low))
+            limits |= {f"low_{m}": value(m, low) - width, f"high_{m}": value(m, high) + width}
+        else:
+            chance = F.expr(f"{1000 * EVENTS} div greatest({_floor_sql(f'{size}_50')}, 1)")
+            limits[f"high_{m}"] = F.greatest(2 * value(m, high) - value(m, low), chance)
+    return found.select(*keys, "n", *(c.cast("long").alias(k) for k, c in limits.items()))
+
+
+def _floor_sql(b: str) -> str:
+    return f"if({b} < 64, {b}, shiftleft({b} - ({b} div 32 - 1) * 32, cast({b} div 32 - 1 as int)))"
+
 
+def _shrunk(n: Column, own: Column, parent: Column) -> Column:
+    """``own``, drawn towards ``parent`` by as much as PRIOR documents weigh against ``n``; ``parent`` where there is none."""
+    return F.when(own.isNull(), parent).otherwise(F.floor((n * own + PRIOR * parent) / (n + PRIOR)))
 
-def fences(sketch: DataFrame, tails: bool = True) -> DataFrame:
-    """One row for each (lang, source): low_<metric> and high_<metric>, from the smallest group around it of MIN_GROUP.
 
-    Without ``tails`` the metrics of TAILS have fences of quartiles too.
+def fences(sketch: DataFrame) -> DataFrame:
+    """One row for each (lang, source): low_<metric> and high_<metric>.
+
+    A language's fences are drawn towards everyone's, a group's towards its language's, by a weight that falls as the
+    group grows.
     """
     sketch = cut(sketch)
-    limits = {}
-    for m, (_, slack, lower) in METRICS.items():
-        width = SPREAD * (F.col(f"q3_{m}") - F.col(f"q1_{m}")) + slack
-        limits[f"high_{m}"] = F.col(f"q3_{m}") + width
-        if tails and m in TAILS:
-            limits[f"high_{m}"] = 2 * F.col(f"p95_{m}") - F.col(f"p50_{m}") + TAILS[m]
-        if lower:
-            limits[f"low_{m}"] = F.col(f"q1_{m}") - width
+    limits = [f"{side}_{m}" for m, (_, _, size) in METRICS.items() for side in (("low", "high") if size is None else ("high",))]
 
     def level(keys: list[str], tag: str) -> DataFrame:
-        x = _quartiles(sketch, keys).select(*[F.col(k).alias(f"{k}_{tag}") for k in keys], "n", *(c.alias(k) for k, c in limits.items()))
-        return x.select(*[f"{k}_{tag}" for k in keys], F.struct("n", *limits).alias(tag))
+        x = _own_fences(sketch, keys)
+        return x.select(*[F.col(k).alias(f"{k}_{tag}") for k in keys], F.struct("n", *limits).alias(tag))
 
     same = lambda k, tag: F.col(k).eqNullSafe(F.col(f"{k}_{tag}"))
     groups = sketch.select("lang", "source").distinct()
     own, lang = level(["lang", "source"], "own"), level(["lang"], "of_lang")
     everyone = level([], "of_all").first()["of_all"]
-    of_all = F.struct(*(F.lit(everyone[k]).cast("long").alias(k) for k in ("n", *limits)))
     joined = groups.join(own, same("lang", "own") & same("source", "own"), "left").join(lang, same("lang", "of_lang"), "left")
-    chosen = F.when(F.col("own.n") >= MIN_GROUP, F.col("own")).when(F.col("of_lang.n") >= MIN_GROUP, F.col("of_lang")).otherwise(of_all)
-    return joined.select("lang", "source", chosen.alias("x")).select("lang", "source", *(F.col(f"x.{k}").alias(k) for k in limits))
+    of_lang = {k: _shrunk(F.col("of_lang.n"), F.col(f"of_lang.{k}"), F.lit(everyone[k]).cast("long")) for k in limits}
+    return joined.select("lang", "source", *(_shrunk(F.col("own.n"), F.col(f"own.{k}"), of_lang[k]).cast("long").alias(k) for k in limits))
 
 
 def verdicts(counted: DataFrame, limits: DataFrame) -> DataFrame:
@@ -150,26 +167,29 @@ def verdicts(counted: DataFrame, limits: DataFrame) -> DataFrame:
         limits = F.broadcast(limits)
     joined = counted.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
     outside = F.lit(False)
-    for m, (_, _, lower) in METRICS.items():
+    for m, (_, _, size) in METRICS.items():
         outside = outside | F.coalesce(_metric(m) > F.col(f"high_{m}"), F.lit(False))
-        if lower:
+        if size is None:
             outside = outside | F.coalesce(_metric(m) < F.col(f"low_{m}"), F.lit(False))
     return joined.select(*[f"`{c}`" for c in counted.columns], base_failed().alias("base_failed"), (~base_failed() & ~outside).alias("kept"))
 
 
-def quality_metrics(docs: DataFrame, tails: bool = True) -> DataFrame:
+def quality_metrics(docs: DataFrame) -> DataFrame:
     """doc_id, COUNTS, base_failed and kept of each row of ``docs`` (doc_id, text, lang, source).
 
-    Null text has no words and fails; null lang and source are groups of their own; repeated rows count each. Other
-    columns are not read.
+    Null and empty texts have no words and fail; a very long one is counted whole, in memory of some times its size. Null
+    lang and source are groups of their own; repeated rows count each; of ties in a quantile the least value counts. An
+    empty table gives no rows. Other columns are not read.
     """
     counted = cut(with_counts(docs.select("doc_id", "text", "lang", "source"), keep_text=False))
-    return verdicts(counted, fences(sketches(counted), tails)).drop("lang", "source")
+    return verdicts(counted, fences(sketches(counted))).drop("lang", "source")
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns, whatever their names. Texts are read twice: for the fences and
-    for the verdicts."""
+    """The rows of ``docs`` that pass, with their columns, whatever their names; edge cases as in ``quality_metrics``.
+
+    Texts are read twice: for the fences and for the verdicts.
+    """
     limits = fences(sketches(with_counts(docs.select("text", "lang", "source"), keep_text=False)))
     whole = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("__doc"), "text", "lang", "source")
     return verdicts(with_counts(whole, keep_text=False), limits).where("kept").select("__doc.*")

@@ -28,7 +28,7 @@ def op2_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_metrics(read(spark, sf_dir, "documents"), tails=False).drop("n_lines")  # fences as its SQL has them
+    return quality.quality_metrics(read(spark, sf_dir, "documents")).drop("n_lines")
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,28 +72,33 @@ def _rules_sql() -> str:
 
 
 def _quality_sql() -> str:
-    metrics = quality.METRICS
-    rows = ", ".join(f"({_quoted(m)}, {f.replace('div', '//')})" for m, (f, _, _) in metrics.items())
+    metrics, sizes = quality.METRICS, quality.SIZES
+    rows = ", ".join([f"({_quoted(m)}, {f.replace('div', '//')})" for m, (f, _, _) in metrics.items()] + [f"({_quoted(c)}, {c})" for c in sizes])
     low = lambda q: f"CASE WHEN {q} < 64 THEN {q} ELSE ({q} - ({q} // 32 - 1) * 32) << CAST({q} // 32 - 1 AS INTEGER) END"
 
-    def quartiles(keys: str) -> str:
+    def level(keys: str) -> str:
         by = f"{keys}, " if keys else ""
         group = f"GROUP BY {keys}" if keys else ""
-        at = lambda m, q: f"min(bucket) FILTER (metric = '{m}' AND up_to * 4 >= total * {q})"
+        at = lambda m, q: f"(min(bucket) FILTER (metric = '{m}' AND up_to * 100 >= total * {q}))"
         fence = []
-        for m, (_, slack, _) in metrics.items():
-            q1, q3 = low(at(m, 1)), low(at(m, 3))
-            fence += [f"{q1} - ({quality.SPREAD} * ({q3} - {q1}) + {slack}) AS low_{m}", f"{q3} + {quality.SPREAD} * ({q3} - {q1}) + {slack} AS high_{m}"]
+        for m, (_, (a, b), size) in metrics.items():
+            x, y = low(at(m, a)), low(at(m, b))
+            if size is None:
+                width = f"{quality.SPREAD} * ({low(f'({at(m, b)} + 1)')} - ({x}))"
+                fence += [f"{x} - {width} AS low_{m}", f"{y} + {width} AS high_{m}"]
+            else:
+                fence.append(f"greatest(2 * ({y}) - ({x}), {1000 * quality.EVENTS} // greatest({low(at(size, 50))}, 1)) AS high_{m}")
         return f"""(SELECT {by}max(total) AS n, {", ".join(fence)} FROM (
             SELECT {by}metric, bucket, sum(n) OVER (PARTITION BY {by}metric ORDER BY bucket) AS up_to, sum(n) OVER (PARTITION BY {by}metric) AS total
             FROM (SELECT {by}metric, bucket, count(*) AS n FROM b GROUP BY {by}metric, bucket)) {group})"""
 
     inside = []
-    for m, (f, _, lower) in metrics.items():
-        pick = lambda side, m=m: f"CASE WHEN o.n >= {quality.MIN_GROUP} THEN o.{side}_{m} WHEN l.n >= {quality.MIN_GROUP} THEN l.{side}_{m} ELSE a.{side}_{m} END"
+    for m, (f, _, size) in metrics.items():
+        drawn = lambda t, own, parent: f"CASE WHEN {own} IS NULL THEN {parent} ELSE CAST(floor(({t}.n * {own} + {quality.PRIOR} * {parent}) / ({t}.n + {quality.PRIOR})) AS BIGINT) END"
+        pick = lambda side, m=m: drawn("o", f"o.{side}_{m}", f"({drawn('l', f'l.{side}_{m}', f'a.{side}_{m}')})")
         v = f.replace("div", "//")
         inside.append(f"coalesce({v} <= {pick('high')}, TRUE)")
-        if lower:
+        if size is None:
             inside.append(f"coalesce({v} >= {pick('low')}, TRUE)")
     return rf"""
 WITH d AS (
@@ -111,9 +116,9 @@ f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality
 v AS (SELECT lang, source, metric, value FROM f, LATERAL (VALUES {rows}) AS m(metric, value) WHERE NOT base_failed),
 b AS (
   SELECT lang, source, metric, CASE WHEN value < 64 THEN value ELSE (length(bin(value)) - 6) * 32 + (value >> CAST(length(bin(value)) - 6 AS INTEGER)) END AS bucket FROM v),
-own AS {quartiles("lang, source")},
-of_lang AS {quartiles("lang")},
-of_all AS {quartiles("")}
+own AS {level("lang, source")},
+of_lang AS {level("lang")},
+of_all AS {level("")}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(inside)} AS kept
 FROM f LEFT JOIN own o ON o.lang IS NOT DISTINCT FROM f.lang AND o.source IS NOT DISTINCT FROM f.source
   LEFT JOIN of_lang l ON l.lang IS NOT DISTINCT FROM f.lang CROSS JOIN of_all a

@@ -214,6 +214,39 @@ def test_fences_follow_metrics_that_are_mostly_zero(spark):
     assert all(got[1000 + i].kept for i in range(300))  # and not where they are usual
 
 
+def test_each_metric_has_fences_of_its_group(spark):
+    """Two groups of texts that differ in all tails: a text that one of them finds usual fails in the other."""
+    rng = random.Random(14)
+
+    def text(loose):
+        words = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 14) if loose else 5)) for _ in range(200)]
+        if loose and rng.random() < 0.5:
+            words[:20] = [w + "#" for w in words[:20]]
+            words[30:60] = words[60:90]
+        rows = [" ".join(words[i : i + 10]) for i in range(0, 200, 10)]
+        if loose and rng.random() < 0.5:
+            rows[10:14] = [rows[3]] * 4
+        return "\n".join(rows)
+
+    schema = "doc_id long, text string, lang string, source string"
+    rows = [(i, text(False), "en", "strict") for i in range(400)] + [(1000 + i, text(True), "en", "loose") for i in range(400)]
+    docs = spark.createDataFrame([*rows, *((9000 + i, "word " * 70, "en", s) for i, s in enumerate(("strict", "loose")))], schema)
+    table = {r.source: r for r in quality.fences(quality.sketches(quality.with_counts(docs))).collect()}
+    for fence in ("high_word_length", "high_symbols", "high_dup_lines", "high_repeats"):
+        assert table["loose"][fence] > 1.2 * table["strict"][fence], fence
+    got = {r.doc_id: r for r in quality.quality_metrics(docs).collect()}
+    assert sum(got[i].kept for i, *_ in rows) > 780
+
+
+def test_small_groups_lean_on_their_language(spark):
+    rng = random.Random(15)
+    rows = [(i, clean(rng), "en", "large") for i in range(300)]
+    rows += [(1000 + i, "\n".join(["same line here again and so on now"] * 3 + [clean(rng, 30), clean(rng, 30)]), "en", f"small{i % 2}") for i in range(4)]
+    limits = {r.source: r for r in quality.fences(quality.sketches(quality.with_counts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))).collect()}
+    own, of_lang = 1000 * quality.EVENTS // 5, limits["large"].high_dup_lines
+    assert own < of_lang and own < limits["small0"].high_dup_lines <= of_lang + 20
+
+
 # line dedup
 
 
