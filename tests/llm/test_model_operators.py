@@ -455,6 +455,63 @@ def test_salvage(zipped):
     assert list(warc.salvage(b"")) == [] and [x[0] for x in warc.salvage(b"nothing")] == ["gap"]
 
 
+def inner_gaps(found):
+    return [x[4:] for x in found if x[0] == "gap" and x[4] is not None]
+
+
+def test_salvage_inside_a_member():
+    """Archives that are compressed as a whole."""
+    parts = archive(zipped=False)
+    plain = b"".join(parts)
+    data = warc.gzip_member(plain)
+    found = list(warc.salvage(data))
+    assert ids(found) == urns(*range(6)) and [x[2] for x in found] == [0] * 5 + [len(data)]
+    assert [x[5:] for x in found] == [(sum(map(len, parts[:i])), len(p)) for i, p in enumerate(parts)]
+    last = data[:-12] + bytes(b ^ 0xFF for b in data[-12:])  # the checksum and the end of the last record
+    assert ids(warc.salvage(last)) == urns(*range(5))
+    trailer = data[:-8] + bytes(8)
+    assert ids(warc.salvage(trailer)) == urns(*range(5)) and list(warc.salvage(trailer))[-1][:4] == ("gap", 0, len(data), "member")
+    assert len(ids(warc.salvage(data[: len(data) * 9 // 10]))) >= 4
+    at = len(parts[0]) + len(parts[1])
+    for change in (at + 3, at + len(parts[2]) // 2, at + len(parts[2]) - 2):
+        broken = bytearray(plain)
+        broken[change] ^= 0xFF
+        found = list(warc.salvage(warc.gzip_member(bytes(broken))))
+        assert ids(found) == urns(0, 1, 3, 4, 5)
+        assert inner_gaps(found) == [(at, len(parts[2]))]
+    size = plain.replace(b"Content-Length: ", b"Content-Length: 9999", 1)  # a record that claims what others have
+    assert ids(warc.salvage(warc.gzip_member(size))) == urns(*range(1, 6))
+    both = warc.gzip_member(b"".join(parts[:3])) + b"junk" + warc.gzip_member(b"".join(parts[3:]))
+    found = list(warc.salvage(both))
+    assert ids(found) == urns(*range(6)) and sum(x[2] for x in found) == len(both)
+
+
+def test_salvage_of_a_large_member_in_small_memory(monkeypatch):
+    parts = archive(zipped=False)
+    plain = b"".join(parts * 400)
+    data = warc.gzip_member(plain)
+    largest, real = [0], warc.parse_record
+
+    def watch(data, at=0):
+        largest[0] = max(largest[0], len(data))
+        return real(data, at)
+
+    monkeypatch.setattr(warc, "parse_record", watch)
+    assert len(ids(warc.salvage(data))) == 2400
+    assert largest[0] < 4 * warc.STEP + max(map(len, parts)) < len(plain)
+
+
+@given(st.lists(st.tuples(st.integers(0, 10**6), st.integers(0, 255)), max_size=4), st.booleans())
+@settings(max_examples=100, deadline=None)
+def test_salvage_of_whole_members_covers_every_byte(changes, twice):
+    whole = warc.gzip_member(b"".join(archive(zipped=False)))
+    data = bytearray(whole * (1 + twice))
+    for at, value in changes:
+        data[at % len(data)] = value
+    found = list(warc.salvage(bytes(data)))
+    assert sum(x[2] for x in found) == len(data) and [x[1] for x in found] == sorted(x[1] for x in found)
+
+
 @given(st.lists(st.tuples(st.integers(0, 10**6), st.integers(0, 255)), max_size=4))
 @settings(max_examples=100, deadline=None)
 def test_salvage_covers_every_byte(changes):
