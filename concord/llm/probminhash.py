@@ -2,7 +2,9 @@
 
 Each distinct shingle of a text sends arrivals of a Poisson process, at the rate of its weight, to registers drawn at
 random; a register keeps the shingle that arrived first. Two texts agree in a register with the probability Jaccard of
-their weighted shingles. A shingle whose next arrival comes after all registers are taken by earlier ones stops.
+their weighted shingles. A shingle whose next arrival comes after all registers are taken by earlier ones stops. Weights
+lie between 1 and a bound, so a pair whose plain Jaccard similarity is the threshold has a probability Jaccard of at
+least the threshold over that bound; bands and the comparison of signatures allow for that.
 
 Equal texts are one node. Nodes that agree in a band meet in a bucket. There each node is verified against the one that
 meets most others, so a large group costs one link for each member. Buckets that then still hold several components are
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 from concord.llm.common import Held, cut, small_batches
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 32, 5  # at similarity 0.8 a pair shares no band with probability 3e-6
+BANDS, ROWS = 40, 4  # a pair shares no band with probability 7e-10 at 0.8, 6e-4 at 0.64, the least that weights make of it
+HEAVIEST = 1.25  # weight of a shingle, at most; the least is 1
+SEGMENT = 1 << 22  # bytes that are hashed at once
 CHUNK = 1 << 21  # bytes of text that are worked on at once
 BLOCK = 1000  # nodes of a bucket that meet those of another block in one task
 SIGMAS = 5  # how far below the threshold a signature's estimate may lie
@@ -42,6 +46,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_POWER = np.uint64(0xD6E8FEB86659FD93)
 _LETTER = _mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _GOLD)
 _LETTER[_SPACE] = 0
 
@@ -53,12 +58,26 @@ def _word_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
     ends = np.cumsum([len(x) + 1 for x in data])
     counts = np.diff(np.searchsorted(starts, ends), prepend=0)
-    if not len(starts):
-        return np.zeros(0, np.uint64), counts
-    first = starts[0]
-    place = np.arange(first, len(text)) - np.repeat(starts, np.diff(starts, append=len(text)))
-    powers = np.cumprod(np.full(int(place.max()) + 1, 0xD6E8FEB86659FD93, np.uint64))
-    return _mix(np.add.reduceat(_LETTER[text[first:]] * powers[place], starts - first)), counts
+    out = np.zeros(len(starts), np.uint64)
+    edges = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(text), SEGMENT)), len(starts)))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        low, high = starts[a], starts[b] if b < len(starts) else len(text)
+        if high - starts[b - 1] > SEGMENT:  # the last word may be longer than a segment
+            out[b - 1] = _long_hash(text[starts[b - 1] : high])
+            high, b = starts[b - 1], b - 1
+        if b > a:
+            place = np.arange(high - low) - np.repeat(starts[a:b] - low, np.diff(starts[a:b], append=high))
+            powers = np.cumprod(np.full(int(place.max()) + 1, _POWER, np.uint64))
+            out[a:b] = np.add.reduceat(_LETTER[text[low:high]] * powers[place], starts[a:b] - low)
+    return _mix(out), counts
+
+
+def _long_hash(word: np.ndarray) -> np.uint64:
+    powers, total = np.cumprod(np.full(SEGMENT, _POWER, np.uint64)), 0
+    for at in range(0, len(word), SEGMENT):
+        part = _LETTER[word[at : at + SEGMENT]]
+        total += int((part * powers[: len(part)]).sum()) * pow(int(_POWER), at, 1 << 64)
+    return np.uint64(total % (1 << 64))
 
 
 def shingle_sets(data: list[bytes], size: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -86,9 +105,8 @@ def shingle_sets(data: list[bytes], size: int = SHINGLE) -> list[tuple[np.ndarra
     return out
 
 
-#: Weight of a shingle by its count in the text. With "one" the probability Jaccard is the plain one that is verified; with
-#: "log" a line repeated many times counts for more, so texts that differ in such lines may share no band.
-WEIGHTS = {"one": lambda counts: np.ones(len(counts)), "log": lambda counts: 1 + np.log(counts)}
+#: Weight of a shingle by its count in the text, from 1 to HEAVIEST: a passage that is said again counts for more.
+WEIGHTS = {"log": lambda counts: 1 + np.minimum(np.log(counts) / 8, HEAVIEST - 1), "one": lambda counts: np.ones(len(counts))}
 
 
 def signatures(texts: list[tuple[np.ndarray, np.ndarray]], m: int = BANDS * ROWS) -> np.ndarray:
@@ -139,7 +157,7 @@ def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[byte
         yield start, held
 
 
-def sign(docs: DataFrame, weights: str = "one") -> DataFrame:
+def sign(docs: DataFrame, weights: str = "log") -> DataFrame:
     """(doc_id, node, keys, sketch) of ``docs`` (doc_id, text): node is the MD5 of the text, null if it has no words."""
     small_batches(docs.sparkSession)
     names = ["doc_id", "node", "keys", "sketch"]
@@ -219,9 +237,12 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _least_alike(threshold: float) -> float:
-    """Registers in which signatures of a pair at the threshold agree at least, but for one pair in some millions."""
-    m = BANDS * ROWS
-    return threshold * m - SIGMAS * (m * threshold * (1 - threshold)) ** 0.5
+    """Registers in which signatures of a pair at the threshold agree at least, but for one pair in some millions.
+
+    Each shared shingle's share of arrivals is at least 1 / (HEAVIEST * shingles of both), whatever the weights.
+    """
+    m, p = BANDS * ROWS, threshold / HEAVIEST
+    return p * m - SIGMAS * (m * p * (1 - p)) ** 0.5
 
 
 def _alike(nodes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -347,7 +368,7 @@ def _links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, threshold: flo
         return links, components(links)
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "one") -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "log") -> tuple[DataFrame, DataFrame]:
     """(doc_id, node) of each row, and (node, class_id, keeper, n_links, n_rows) of each node.
 
     class_id is the least doc_id of the class, ``keeper`` the least node that has it; ``n_links`` counts the links to other
@@ -372,10 +393,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "one")
     return rows, table
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "one") -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "log") -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, class_id, n_links, n_rows.
 
-    Texts without words (null or empty ones, too) are never duplicates: class_id is their own doc_id, n_links 0, n_rows 1.
+    Whole texts are compared, however long, in memory of some times their size. Of ties the least doc_id gives the class
+    its id. Repeated rows are of one class; an empty table gives no rows. Texts without words (null or empty ones, too) are never duplicates: class_id is their own doc_id, n_links 0, n_rows 1.
     Rows without an id have their class's id, null if none in it has one. Other columns are not read.
     """
     rows, table = classes(docs, threshold, weights)
@@ -383,7 +405,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, weights: str
     return joined.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_rows", F.lit(1)).cast("long").alias("n_rows"))
 
 
-def keep_one(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "one") -> DataFrame:
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "log") -> DataFrame:
     """``docs`` without near duplicates: of each class the row with the least doc_id stays, as do texts without words.
 
     Of rows equal in doc_id and text the one with the least other columns stays.

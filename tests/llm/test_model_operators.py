@@ -281,6 +281,47 @@ def test_registers_estimate_probability_jaccard():
     assert abs((a == b).mean() - want) < 0.03
 
 
+@pytest.mark.parametrize("weights", ["log", "one"])
+def test_recall_of_pairs_near_the_threshold(spark, weights):
+    """Pairs just above it, whose texts repeat different passages different numbers of times."""
+    rng, docs = random.Random(21), []
+    while len(docs) < 240:
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(100)]
+        copy = list(base)
+        for i in rng.sample(range(100), 2):
+            copy[i] = f"x{rng.randint(0, 10**6)}"
+        a, b = list(base), list(copy)
+        for x, other in ((a, copy), (b, base)):
+            at = rng.randint(0, 60)
+            x += x[at : at + 30] * rng.randint(0, 12)
+        one, two = shingles(" ".join(a)), shingles(" ".join(b))
+        if 0.8 <= len(one & two) / len(one | two) < 0.86:
+            docs += [(len(docs), " ".join(a)), (len(docs) + 1, " ".join(b))]
+    got = {r.doc_id: r.class_id for r in pm.near_duplicates(spark.createDataFrame(docs, TEXT), weights=weights).collect()}
+    assert sum(got[i + 1] == i for i in range(0, 240, 2)) >= 0.99 * 120
+    assert all(got[i] == i for i in range(0, 240, 2))
+
+
+def test_weights_are_bounded_and_count():
+    counts = np.array([1, 2, 5, 10**6])
+    w = pm.WEIGHTS["log"](counts)
+    assert w[0] == 1 and (np.diff(w) > 0).all() and w[-1] == pm.HEAVIEST
+    rng = np.random.default_rng(3)
+    e = np.unique(rng.integers(0, 2**60, 400).astype(np.uint64))
+    x, y = rng.choice([1, pm.HEAVIEST], len(e)), rng.choice([1, pm.HEAVIEST], len(e))
+    a, b = pm.signatures([(e[:360], x[:360]), (e[40:], y[40:])], 6000)
+    assert (a == b).mean() > 320 / 400 / pm.HEAVIEST - 0.02
+    assert (a != pm.signatures([(e[:360], np.ones(360))], 6000)[0]).mean() > 0.02
+
+
+def test_hashes_of_long_texts(monkeypatch):
+    texts = [b"ab cd " * 50, b"", b"x" * 300 + b" y " + b"z" * 40, b" \n"]
+    want = pm._word_hashes(texts)
+    monkeypatch.setattr(pm, "SEGMENT", 37)
+    got = pm._word_hashes(texts)
+    assert (want[0] == got[0]).all() and (want[1] == got[1]).all() and len(set(want[0].tolist())) == 5
+
+
 def test_classes_against_brute_force(spark):
     rng = random.Random(8)
     texts = [t for k in range(8) for t in family(rng, 12, [(0, 1), (1, 3), (3, 5), (4, 8)][k % 4])]
