@@ -15,6 +15,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases that are always looked for, with their labels.
 PHRASES = (("mit  license", "mit", 2), ("apache  license", "apache", 2), ("general  public  license", "gpl", 3))
+OPEN, CLOSE = "\x01", "\x02"
 DETECTION = "array<struct<priority:int,label:string,confidence:double,start:int,stop:int>>"
 
 
@@ -28,38 +29,50 @@ def _spaces(x: Column) -> Column:
     return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
 
 
-def _matches(norm: Column, rule: Column) -> Column:
+def _marked(norm: Column, i: int, key: str, pattern: str) -> Column:
+    """The rule's number and the text with a sign before and after each of its matches; null without the keyword.
+
+    The signs are none of a spread text. Keyword and pattern are constants, so a pattern is compiled once.
+    """
+    found = F.regexp_replace(norm, F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}"))
+    return F.when(F.contains(norm, F.lit(f" {key}")), F.struct(F.lit(i).alias("priority"), found.alias("marked")))
+
+
+def _matches(x: Column, labels: Column, sure: Column) -> Column:
     """Detections of one rule: lengths of what stands between its matches give their places."""
-    pairs = F.arrays_zip(F.split(norm, rule["pattern"], -1).alias("gap"), F.regexp_extract_all(norm, rule["pattern"], F.lit(0)).alias("hit"))
+    pieces = F.split(x["marked"], OPEN, -1)
+    rule = x["priority"]
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        stop = start + F.length(x["hit"])
-        one = F.struct(rule["priority"].alias("priority"), rule["label"].alias("label"), rule["confidence"].alias("confidence"), start.alias("start"), stop.alias("stop"))
-        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(stop.alias("at"), F.concat(acc["found"], F.array(one)).alias("found")))
+    def add(acc: Column, piece: Column) -> Column:
+        hit = F.length(F.substring_index(piece, CLOSE, 1))
+        stop = acc["at"] + hit
+        one = F.struct(rule.alias("priority"), F.element_at(labels, rule + 1).alias("label"), F.element_at(sure, rule + 1).alias("confidence"), acc["at"].alias("start"), stop.alias("stop"))
+        return F.struct((acc["at"] + F.length(piece) - 1).alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(DETECTION).alias("found")), add)["found"]
+    start = F.struct(F.length(F.element_at(pieces, 1)).alias("at"), F.array().cast(DETECTION).alias("found"))
+    return F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), start, add)["found"]
 
 
 def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, n_base, first_word, last_word, base_labels, detections, labels and score.
 
     Null text is empty: no words, no places (first_word and last_word null), empty labels, score 0. ``detections`` are
-    the rules' that stay, with start and stop in the spread words; ``score`` is the greatest confidence among them. Other
-    columns pass through; columns that have one of the new names are replaced. Rows are independent of each other.
+    the rules' that stay, with start and stop in the spread words; ``score`` is the greatest confidence among them. A
+    detection stays beside another of the same place and priority. Texts are read whole; time grows with a text's length,
+    and with the square of its detections. Other columns pass through; columns that have one of the new names are
+    replaced. Rows are independent of each other, so repeated ones stay, and an empty table gives no rows.
     """
     new = ["n_words", "n_base", "first_word", "last_word", "base_labels", "detections", "labels", "score"]
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
     own = [c for c in docs.columns if c.lower() not in new]
     table = rules()
     gate = "|".join(sorted({k for _, _, _, k, _ in table}))
-    struct = lambda i, label, sure, key, pattern: F.struct(F.lit(i).alias("priority"), F.lit(label).alias("label"), F.lit(sure).alias("confidence"), F.lit(f" {key}").alias("keyword"), F.lit(pattern).alias("pattern"))
-    every = F.array(*(struct(*r) for r in table))
-
     spread = docs.select(*kept, spread_words(F.col(text)).alias("__norm"))
     norm = F.col("__norm")
-    tried = F.filter(every, lambda r: F.contains(norm, r["keyword"]))
-    found = F.when(norm.rlike(f" (?:{gate})"), F.flatten(F.transform(tried, lambda r: _matches(norm, r)))).otherwise(F.array().cast(DETECTION))
+    tried = F.array_compact(F.array(*(_marked(norm, i, key, pattern) for i, _, _, key, pattern in table)))
+    hit = F.filter(tried, lambda x: F.contains(x["marked"], F.lit(OPEN)))
+    labels, sure = F.array(*(F.lit(r[1]) for r in table)), F.array(*(F.lit(r[2]) for r in table))
+    found = F.when(norm.rlike(f" (?:{gate})"), F.flatten(F.transform(hit, lambda x: _matches(x, labels, sure)))).otherwise(F.array().cast(DETECTION))
     pieces = [F.when(F.contains(norm, F.lit(f" {p} ")), F.split(norm, f" {p} ", -1)) for p, _, _ in PHRASES]
     step = spread.select(*own, "__norm", F.floor(_spaces(norm) / 2 - 1).alias("n_words"), found.alias("__found"), *(p.alias(f"__p{i}") for i, p in enumerate(pieces)))
     places = [F.coalesce(F.size(f"__p{i}") - 1, F.lit(0)) for i in range(len(PHRASES))]
@@ -77,5 +90,5 @@ def license_scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def license_digest(docs: DataFrame) -> DataFrame:
-    """``license_scan`` of (doc_id, text) without the detections' places."""
+    """``license_scan`` of (doc_id, text) without the detections' places; its edge cases are that function's."""
     return license_scan(docs.select("doc_id", "text")).drop("text", "detections")
