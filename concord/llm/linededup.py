@@ -43,21 +43,38 @@ def _half_keys(line: Column) -> Column:
     return F.array(*keys(n), *keys(n - 1))
 
 
-def _holes(line: Column) -> Column:
-    """array<struct<hole, content, longer>>: for each leaf the hash of what surrounds it, and what it holds.
+def _leaves(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{LEAF}}}"), F.lit(0))
 
-    ``longer`` is false where the line is seen beside one with one character more, of whose leaf it has all but one.
+
+def _sums(hashes: Column) -> Column:
+    """0, then the sum (bit by bit, without carry) of the first, of the first two, ..."""
+    return F.aggregate(hashes, F.array(F.lit(0).cast("long")), lambda acc, h: F.concat(acc, F.array(F.element_at(acc, -1).bitwiseXOR(h))))
+
+
+def _with_holes(texts: DataFrame) -> DataFrame:
+    """``texts`` (.., line) with holes, array<struct<hole, content, longer>>: for each leaf the hash of what surrounds it,
+    and what it holds.
+
+    ``longer`` is false where the line is seen beside one with one character more, of whose leaf it has all but one. A
+    surrounding's hash is the sum of its leaves' hashes, so all of a line's are found in time that grows with its length.
     """
-    n = F.length(line)
+    rest = [c for c in texts.columns if c != "line"]
+    at = lambda xs, from_: F.transform(xs, lambda x, j: F.xxhash64(j + from_, x))
+    # beside a longer line, what follows a leaf stands one place earlier
+    cut = texts.select(*rest, F.length("line").alias("n"), _leaves(F.col("line")).alias("leaves"), _leaves(F.substr("line", F.lit(LEAF))).alias("later"))
+    hashed = cut.select(*rest, "n", "leaves", at(F.col("leaves"), F.lit(0)).alias("own"), at(F.col("later"), F.lit(1)).alias("moved"))
+    summed = hashed.select(*rest, "n", "leaves", "own", _sums(F.col("own")).alias("before"), _sums(F.col("moved")).alias("moved"))
+    key = lambda n, i, surrounding: F.xxhash64(n, i, surrounding).alias("hole")
+    total, moved = F.element_at("before", -1), F.element_at("moved", -1)
+    own = F.transform("leaves", lambda x, i: F.struct(key(F.col("n"), i, total.bitwiseXOR(F.get("own", i))), x.alias("content"), F.lit(True).alias("longer")))
 
-    def hole(start: Column, size: Column, longer: bool) -> Column:
-        return F.struct(
-            F.xxhash64(start, F.left(line, start), F.substr(line, start + size + 1)).alias("hole"), F.substr(line, start + 1, size).alias("content"), F.lit(longer).alias("longer")
-        )
+    def beside(i: Column) -> Column:
+        around = F.get("before", i).bitwiseXOR(moved).bitwiseXOR(F.get("moved", i))
+        return F.struct(key(F.col("n") + 1, i, around), F.coalesce(F.left(F.get("leaves", i), F.lit(LEAF - 1)), F.lit("")).alias("content"), F.lit(False).alias("longer"))
 
-    own = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(LEAF)), lambda s: hole(s, F.least(F.lit(LEAF), n - s), True))
-    short = F.transform(F.sequence(F.lit(0), n, F.lit(LEAF)), lambda s: hole(s, F.least(F.lit(LEAF), n + 1 - s) - 1, False))
-    return F.concat(own, short)
+    short = F.transform(F.sequence(F.lit(0), F.floor(F.col("n") / LEAF).cast("int")), beside)
+    return summed.select(*rest, F.concat(own, short).alias("holes"))
 
 
 def _variants() -> Column:
@@ -85,7 +102,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, held: Held, min_words: int = M
     texts = lines_of(docs, min_words).join(wanted, "line_hash", "left_semi")
     texts = texts.groupBy("line_hash").agg(F.min(_at()).alias("first"), F.min("line").alias("line"))
     texts = held(texts)
-    holes = texts.select("line_hash", "first", F.explode(_holes(F.col("line"))).alias("h")).select("line_hash", "first", "h.*")
+    holes = _with_holes(texts).select("line_hash", "first", F.explode("holes").alias("h")).select("line_hash", "first", "h.*")
     holes = _shared(holes, "hole")
     variants = held(holes.select("line_hash", "first", "longer", F.explode(_variants()).alias("x")).select("line_hash", "first", "longer", "x.*"))
     place = F.struct(F.col("first").alias("first"), F.col("line_hash").alias("line_hash"))
@@ -115,7 +132,9 @@ def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each doc_id of ``docs`` (doc_id, text): n_lines, n_removed and removed, the numbers of lines that go.
 
     Null text is one empty line, as empty text is. Lines of fewer than ``min_words`` words always stay. Rows with one
-    doc_id are one document: a line that they share at one place is one line. Other columns are not read.
+    doc_id are one document: a line that they share at one place is one line; of lines that are equal or near, the one of
+    the least (doc_id, place) stays. Lines are compared whole, in time that grows with their length. An empty table gives
+    no rows. Other columns are not read.
     """
     sizes = docs.groupBy("doc_id").agg(F.max(F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))).cast("long").alias("n_lines"))
     gone = repeated_lines(docs, min_words).groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_set("pos")).alias("removed"))
@@ -125,14 +144,22 @@ def line_report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with texts without the lines that go, and n_chars, where there is one, counted anew; all rows stay."""
+    """``docs`` with texts without the lines that go, and n_chars, where there is one, counted anew; all rows stay.
+
+    Null and empty texts stay as they are; rows that share an id lose the lines that they share; an empty table gives no
+    rows; other columns pass through, whatever their names, but for names that start with two underscores.
+    """
     gone = cut(repeated_lines(docs, min_words).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("pos", "line_hash")).alias("__gone")))
     if gone.count() <= BROADCAST_ROWS // 20:
         gone = F.broadcast(gone)
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    numbered = F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(i.alias("pos"), line.alias("line")))
-    stay = F.filter(numbered, lambda x: ~F.array_contains(F.col("__gone"), F.struct(x["pos"].alias("pos"), F.unhex(F.md5(x["line"])).alias("line_hash"))))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda x: x["line"]), "\n"))
+    joined = joined.withColumn("__lines", F.when(F.col("__gone").isNotNull(), F.split("text", "\n", -1)))
+    # rows may share an id but not the text, so a line that goes is known by its hash, too
+    there = F.filter("__gone", lambda g: F.unhex(F.md5(F.get("__lines", g["pos"]))) == g["line_hash"])
+    joined = joined.withColumn("__at", F.array_sort(F.transform(there, lambda g: g["pos"])))
+    spans = F.arrays_zip(F.concat(F.array(F.lit(-1)), "__at").alias("after"), F.concat("__at", F.array(F.size("__lines"))).alias("before"))
+    kept = F.flatten(F.transform(spans, lambda x: F.slice(F.col("__lines"), x["after"] + 2, x["before"] - x["after"] - 1)))
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     new = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         new = new.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))

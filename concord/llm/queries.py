@@ -57,7 +57,7 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_report(read(spark, sf_dir, "documents"), min_words=5)  # as its SQL has it
+    return linededup.line_report(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op1_chat": op1_chat, "op2_score": op2_score, "op3_quality": op3_quality, "op4_neardup": op4_neardup, "op5_topk": op5_topk, "op6_bpe": op6_bpe, "op7_warc": op7_warc, "op8_license": op8_license, "op9_mix": op9_mix, "op10_lines": op10_lines}
@@ -199,7 +199,7 @@ FROM p LEFT JOIN k ON p.d = k.d AND p.n >= 1000
 WITH e AS (
   SELECT doc_id, i - 1 AS pos, lines[i] AS line
   FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))
-  WHERE len(regexp_extract_all(lines[i], '[^\x20\x09-\x0D]+')) >= 5),
+  WHERE len(regexp_extract_all(lines[i], '[^\x20\x09-\x0D]+')) >= 1),
 l AS (SELECT line, min((doc_id, pos)) AS first FROM e GROUP BY line),
 v AS (
   SELECT line, first, p, hash(line[:p - 1] || line[p + 1:]) AS v
