@@ -6,7 +6,8 @@ paged: leaf pages hold vectors around a routing object, directory pages hold lea
 distance to the page's routing object, every page a covering radius. A query visits pages by the least distance that
 their radius allows and stops when the next lies beyond its k-th best; inside a page, entries whose stored distance to
 the routing object differs from the query's by more than the k-th best distance are never computed.
-Queries meet trees in blocks; the best of all trees are merged. Scores are exact integers.
+Queries meet trees in blocks; the best of all trees are merged. No tree starts without a bound: the k-th best score among
+SEED vectors, which are as good as any, is one that the answer can't be below. Scores are exact integers.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ from pyspark.sql import functions as F
 from concord.llm.common import cut, small_batches
 
 SCALE, K, EVERY = 64, 20, 20
-LEAF, FAN = 256, 32  # entries of a leaf page and of a directory page
+LEAF, FAN = 128, 16  # entries of a leaf page and of a directory page
 TREE, BLOCK = 16384, 256  # vectors of a tree, queries of a block
+HELD = 4  # trees that a task holds at once
+SEED = 4096  # vectors, any of them, that every block of queries is first held against
 SLACK = 1e-6  # relative, for distances in floating point
-SAFE = 1 << 20  # components up to here have exact products in a double
+SAFE = 1 << 20  # components up to here have exact products in a double; others are multiplied as whole numbers
 
 
 def _near(points: np.ndarray, size: int, start: int) -> list[np.ndarray]:
@@ -59,93 +62,107 @@ def _middle(points: np.ndarray, rows: np.ndarray) -> int:
 
 @dataclass
 class Page:
-    """A directory page: its routing object and covering radius, and of each leaf the routing object, the radius, the
-    distance to the page's and (first entry, last entry, the entries' distances to the leaf's routing object)."""
+    """Its routing object and covering radius; the numbers of its entries, (first, last) or pages, their distances to the
+    routing object and, of pages, their radii."""
 
     route: np.ndarray
     radius: float
-    routes: np.ndarray
-    radii: np.ndarray
-    parents: np.ndarray
-    spans: list[tuple[int, int, np.ndarray]]
+    entries: np.ndarray | tuple[int, int]
+    stored: np.ndarray
+    radii: np.ndarray | None
+    routes: np.ndarray | None
 
 
 class MTree:
-    """Two levels of pages over integer vectors."""
+    """Pages over integer vectors: leaves, and directories over them, up to one root."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         """``ids`` and the rows of ``vectors`` (int64) are put into page order."""
         points = vectors.astype(np.float64)
-        self.bounded = bool(len(points)) and float(np.abs(points).max()) <= SAFE
+        self.exact = bool(len(points)) and float(np.abs(points).max()) <= SAFE
         norms = (points**2).sum(axis=1)
         self.top = norms.max() if len(norms) else 0.0
         lifted = np.hstack([points, np.sqrt(np.maximum(self.top - norms, 0))[:, None]])
-        leaves = _near(lifted, LEAF, 0) if len(lifted) else []
-        routes = np.array([_middle(lifted, rows) for rows in leaves], np.int64)
-        self.directory: list[Page] = []
-        order, at = [], 0
-        for page in _near(lifted[routes], FAN, 0) if leaves else []:
-            top = lifted[_middle(lifted, routes[page])]
-            radii, spans = [], []
-            for leaf in page.tolist():
-                rows = leaves[leaf]
-                stored = _distance(lifted[rows], lifted[routes[leaf]])
-                radii.append(stored.max())
-                spans.append((at, at + len(rows), stored))
-                order.append(rows)
-                at += len(rows)
-            parents = _distance(lifted[routes[page]], top)
-            self.directory.append(Page(top, float((parents + radii).max()), lifted[routes[page]], np.array(radii), parents, spans))
+        self.pages: list[Page] = []
+        order, level, at = [], [], 0
+        for rows in _near(lifted, LEAF, 0) if len(lifted) else []:
+            route = lifted[_middle(lifted, rows)]
+            stored = _distance(lifted[rows], route)
+            level.append(len(self.pages))
+            self.pages.append(Page(route, float(stored.max()), (at, at + len(rows)), stored, None, None))
+            order.append(rows)
+            at += len(rows)
+        while len(level) > 1:
+            routes, numbers, above = np.array([self.pages[i].route for i in level]), np.array(level), []
+            for some in _near(routes, FAN, 0):
+                route, under = routes[_middle(routes, some)], numbers[some]
+                stored, radii = _distance(routes[some], route), np.array([self.pages[i].radius for i in under])
+                above.append(len(self.pages))
+                self.pages.append(Page(route, float((stored + radii).max()), under, stored, radii, routes[some]))
+            level = above
         order = np.concatenate(order) if order else np.zeros(0, np.int64)
         self.ids, self.vectors, self.points = ids[order], vectors[order], points[order]
-        self.tops = np.array([p.route for p in self.directory])
-        self.radii = np.array([p.radius for p in self.directory])
         self.computed = 0
 
-    def search(self, query: np.ndarray, own: int | None, k: int) -> list[tuple[int, int]]:
-        """The ``k`` greatest (score, vec_id), ties to the smaller id, without the rows of id ``own``."""
+    def search(self, query: np.ndarray, own: int | None, k: int, floor: float = -np.inf) -> list[tuple[int, int]]:
+        """The ``k`` greatest (score, vec_id) of at least ``floor``, ties to the smaller id, without the rows of id ``own``."""
         if not len(self.ids):
             return []
         n = self.vectors.shape[1]
         q = np.zeros(n, np.int64)
         q[: min(n, len(query))] = query[:n]
-        if not self.bounded or (len(q) and np.abs(q).max() > SAFE):
-            return _best(self.vectors @ q, self.ids, own, k)
+        exact = self.exact and not (len(q) and np.abs(q).max() > SAFE)
         flat = q.astype(np.float64)
         point = np.append(flat, 0.0)
         shift = float((point**2).sum() + self.top)
+        # a distance is the root of shift - 2 * score, widened by what rounding may cost
+        reach = lambda score: np.inf if score == -np.inf else np.sqrt(max(shift - 2.0 * score, 0.0)) + SLACK * (1 + np.sqrt(shift))
         best: list[tuple[int, int]] = []
-        limit = np.inf  # distance to the k-th best, widened by what rounding may cost
-        to_top = _distance(self.tops, point)
-        queue = [(low, i, -1, 0.0) for i, low in enumerate(np.maximum(to_top - self.radii, 0).tolist())]
-        heapq.heapify(queue)
+        limit = reach(floor)
+        root = len(self.pages) - 1
+        to_root = float(np.sqrt(((self.pages[root].route - point) ** 2).sum()))
+        queue = [(max(to_root - self.pages[root].radius, 0.0), root, to_root)]
         while queue:
-            bound, i, leaf, to_route = heapq.heappop(queue)
+            bound, i, to_route = heapq.heappop(queue)
             if bound > limit:
                 break
-            page = self.directory[i]
-            if leaf < 0:
-                # the parent's distance alone rules out some leaves
-                open_ = np.flatnonzero(np.abs(to_top[i] - page.parents) - page.radii <= limit)
-                to_routes = _distance(page.routes[open_], point)
-                for j, low, d in zip(open_.tolist(), np.maximum(to_routes - page.radii[open_], 0).tolist(), to_routes.tolist(), strict=True):
+            page = self.pages[i]
+            if page.radii is not None:
+                # the parent's distance alone rules out some pages
+                open_ = np.flatnonzero(np.abs(to_route - page.stored) - page.radii <= limit)
+                distances = _distance(page.routes[open_], point)
+                lows = np.maximum(distances - page.radii[open_], 0)
+                for j, low, d in zip(page.entries[open_].tolist(), lows.tolist(), distances.tolist(), strict=True):
                     if low <= limit:
-                        heapq.heappush(queue, (low, i, j, d))
+                        heapq.heappush(queue, (low, j, d))
                 continue
-            start, stop, stored = page.spans[leaf]
-            some = np.abs(to_route - stored) <= limit
+            start, stop = page.entries
+            some = np.abs(to_route - page.stored) <= limit
             n_some = int(some.sum())
             if not n_some:
                 continue
             rows = slice(start, stop) if n_some == stop - start else np.flatnonzero(some) + start
             self.computed += n_some
-            scores = self.points[rows] @ flat  # whole numbers below 2**53
-            if len(best) == k and scores.max() < best[-1][0]:
+            # whole numbers below 2**53, or whole numbers from the start
+            scores = self.points[rows] @ flat if exact else self.vectors[rows] @ q
+            if scores.max() < max(floor, best[-1][0] if len(best) == k else -np.inf):
                 continue
             best = _merge(best, _best(scores.astype(np.int64), self.ids[rows], own, k), k)
             if len(best) == k:
-                limit = np.sqrt(max(shift - 2.0 * best[-1][0], 0.0)) + SLACK * (1 + np.sqrt(shift))
-        return best
+                limit = min(limit, reach(best[-1][0]))
+        return [x for x in best if x[0] >= floor]
+
+
+def _floors(ids: np.ndarray, queries: np.ndarray, seed_ids: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
+    """Of each query the k-th greatest score among the seeds, its own id aside; -inf where there are fewer."""
+    width = max(queries.shape[1], seeds.shape[1])
+    wide = lambda x: np.pad(x, ((0, 0), (0, width - x.shape[1])))
+    scores = (wide(queries).astype(np.float64) @ wide(seeds).astype(np.float64).T)  # rounded, so a little is taken off
+    scores[ids[:, None] == seed_ids[None, :]] = -np.inf
+    if scores.shape[1] < k:
+        return np.full(len(ids), -np.inf)
+    kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+    return np.where(np.isfinite(kth), kth - 1e-9 * np.abs(kth) - 1, -np.inf)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, own: int | None, k: int) -> list[tuple[int, int]]:
@@ -208,7 +225,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row of ``queries`` the ``k`` rows of ``vectors`` that score most.
 
     Both have vec_id and embedding. A query's own vec_id is no candidate. Components are scaled by SCALE and floored;
-    shorter vectors count as filled up with zeros, empty ones as zeros. Rows without an id or with invalid vectors take
+    shorter vectors count as filled up with zeros, empty ones as zeros; a vector, however long, is held whole. Rows without an id or with invalid vectors take
     no part; of a vec_id that has several rows, all are candidates and, as queries, one stands for equal ones. Ties go to
     the smaller vec_id. Without vectors or queries there are no rows. Scores are 64-bit numbers.
     """
@@ -218,21 +235,29 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     asked = cut(_blocks(_valid(queries).distinct(), BLOCK))
     parts = max(1, min(spark.sparkContext.defaultParallelism * 4, trees.count()))
     # every block of queries goes once to each of the parts into which the trees are dealt
-    left = trees.select(F.pmod(F.xxhash64("part"), F.lit(parts)).alias("part"), "block")
+    left = trees.select(F.pmod(F.xxhash64("part"), F.lit(parts)).alias("part"), F.col("part").alias("tree"), "block")
     right = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.col("block").alias("queries"))
+    first = trees.limit(1).collect()  # at most TREE vectors, of which SEED are used
+    seeds = spark.sparkContext.broadcast(tuple(x[:SEED] for x in _unpack(bytes(first[0].block)))) if first else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, tree = None, None
+        built: dict[int, MTree] = {}
         for batch in batches:
-            for block, ask in zip(batch.column(0), batch.column(1), strict=True):
-                data = block.as_py()
-                if data != last:
-                    last, tree = data, MTree(*_unpack(data))
-                rows = [(i, v, s) for i, q in zip(*_unpack(ask.as_py()), strict=True) for s, v in tree.search(q, int(i), k)]
+            for number, block, ask in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if number not in built:
+                    if len(built) == HELD:
+                        built.pop(next(iter(built)))
+                    built[number] = MTree(*_unpack(block.as_py()))
+                tree = built[number]
+                ids, vectors = _unpack(ask.as_py())
+                floors = _floors(ids, vectors, *seeds.value, k)
+                rows = [(i, v, s) for i, q, low in zip(ids.tolist(), vectors, floors.tolist(), strict=True) for s, v in tree.search(q, i, k, low)]
                 if rows:
                     q, v, s = (np.array(x, np.int64) for x in zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], names=["query_id", "vec_id", "score"])
 
-    found = left.join(right, "part").select("block", "queries").mapInArrow(run, "query_id long, vec_id long, score long")
+    # a merge join gives each tree its blocks of queries one after another; another order would only cost time
+    met = left.hint("merge").join(right, "part").select("tree", "block", "queries")
+    found = met.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
