@@ -110,11 +110,12 @@ def round_copies(units: DataFrame, block: int = BLOCK) -> DataFrame:
         level += 1
 
 
-def _round_by_size(units: DataFrame) -> DataFrame:
-    """``round_copies``, the large documents first.
+def _round_by_size(units: DataFrame, cap: float) -> DataFrame:
+    """``round_copies``, the large documents first: ``whole`` and ``extra`` of each unit.
 
-    What rounding the documents over twice the mean size leaves over moves, in equal parts, to the fractions of the
-    others, so that a source ends within one of the small ones from its target. It is 0 in expectation.
+    What rounding the documents over twice the mean size leaves over moves, in equal parts, to the others, so that a
+    source ends within one of the small ones from its target. It is 0 in expectation. Where the part lifts a document's
+    due copies over a whole number or below one, ``whole`` follows; only none and ``cap`` for each row stop it.
     """
     large = F.col("size") * F.col("n") > 2 * F.col("source_size")
     first = cut(round_copies(units.where(large).withColumn("due", F.col("p"))))
@@ -124,9 +125,19 @@ def _round_by_size(units: DataFrame) -> DataFrame:
     shift = cut(room.join(over.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).select("__s", (F.col("over") / F.col("room")).alias("shift")))
     if shift.count() <= BROADCAST_ROWS:
         shift = F.broadcast(shift)
-    moved = F.col("p") + F.coalesce(F.col("shift"), F.lit(0.0))
-    shifted = small.join(shift, F.col("source").eqNullSafe(F.col("__s")), "left").withColumn("p", F.greatest(F.lit(TINY), F.least(F.lit(1 - TINY), moved))).drop("__s", "shift")
-    return first.drop("due").unionByName(round_copies(shifted))
+    due = F.col("whole") + F.col("p") + F.coalesce(F.col("shift"), F.lit(0.0))
+    moved = small.join(shift, F.col("source").eqNullSafe(F.col("__s")), "left").withColumn("due", F.greatest(F.lit(0.0), F.least(F.col("n_rows") * float(cap), due))).drop("__s", "shift")
+    whole, rest = _parts("due")
+    moved = moved.withColumn("whole", whole).withColumn("p", rest).drop("due")
+    settled = moved.where("p = 0").drop("p", "n").withColumn("extra", F.lit(0))
+    return first.drop("due").unionByName(round_copies(moved.where("p > 0"))).unionByName(settled)
+
+
+def _parts(due: str) -> tuple[Column, Column]:
+    """Whole copies and the fraction of one; a fraction next to 0 or 1 is taken for it."""
+    whole = F.floor(due)
+    rest = F.col(due) - whole
+    return F.when(rest > 1 - TINY, whole + 1).otherwise(whole), F.when((rest < TINY) | (rest > 1 - TINY), 0.0).otherwise(rest)
 
 
 def word_count(text: Column) -> Column:
@@ -137,8 +148,9 @@ def mix_plan(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, share:
     """Documents of ``docs`` (doc_id, text, source): doc_id, source, size, text_hash, n_rows, source_size, target, copies.
 
     Rows equal in doc_id, source and text are one document with ``n_rows`` rows and ``copies`` for all of them, at most
-    ``cap`` for each. Size is the count of words; null text has none, and documents without words get no copies. Null ids
-    and sources are values like others. Other columns are not read.
+    ``cap`` for each. Size is the count of words of the whole text; null and empty ones have none, and documents without
+    words get no copies. Null ids and sources are values like others; ties are drawn by hash. An empty table gives no
+    rows. The sources, but never their documents, meet in one task. Other columns are not read.
     """
     units = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")).groupBy(*_unit()).agg(F.count(F.lit(1)).alias("n_rows"))
     units = cut(units)
@@ -148,14 +160,13 @@ def mix_plan(docs: DataFrame, weights: tuple = WEIGHTS, cap: float = CAP, share:
     if sources.count() <= BROADCAST_ROWS:
         targets = F.broadcast(cut(targets))
     due = F.when(F.col("size") > 0, F.col("n_rows") * (F.col("target") / F.col("source_size"))).otherwise(0.0)
-    whole = F.floor("due")
-    rest = F.col("due") - whole
+    whole, rest = _parts("due")
     joined = units.join(targets.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s").withColumn("due", due)
-    joined = joined.withColumn("whole", F.when(rest > 1 - TINY, whole + 1).otherwise(whole)).withColumn("p", F.when((rest < TINY) | (rest > 1 - TINY), 0.0).otherwise(rest)).drop("due")
+    joined = joined.withColumn("whole", whole).withColumn("p", rest).drop("due")
     joined = joined.withColumn("h", F.xxhash64(F.lit(SEED + 3), *_unit()))
     out = [*_unit(), "n_rows", "source_size", "target"]
     settled = joined.where("p = 0").select(*out, F.col("whole").alias("copies"))
-    rounded = _round_by_size(joined.where("p > 0").select("h", *_unit(), "n_rows", "source_size", "target", "whole", "p", "n"))
+    rounded = _round_by_size(joined.where("p > 0").select("h", *_unit(), "n_rows", "source_size", "target", "whole", "p", "n"), cap)
     return settled.unionByName(rounded.select(*out, (F.col("whole") + F.col("extra")).alias("copies")))
 
 
@@ -167,7 +178,7 @@ def mix_rows(plan: DataFrame) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with each document as often as the mix takes it.
+    """``docs`` with each document as often as the mix takes it; edge cases as in ``mix_plan``.
 
     Rows equal in doc_id, source and text are one document; its copies carry the least of their other columns.
     """
