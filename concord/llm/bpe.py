@@ -148,7 +148,8 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids
     """``docs`` with column ``ids`` (array of int): the tokens of ``text``, null text as empty.
 
     ``path`` is the rank file's place on every machine. All other columns pass through, whatever their names; a column
-    named as ``ids`` is replaced. Empty texts give an empty array; repeated rows stay repeated. With ``digest`` a column
+    named as ``ids`` is replaced. Empty texts give an empty array; repeated rows stay repeated; a very long text is encoded
+    whole, its tokens in one row; an empty table gives no rows. With ``digest`` a column
     of that name has the SHA-256, in hex, of the bytes that the ids decode to.
     """
     small_batches(docs.sparkSession)
@@ -191,7 +192,8 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): n_tokens, digests of the ids and of the bytes they decode to.
 
     Encodes and decodes in one pass, so that ids needn't travel. Null text is empty; ids and digests of an empty text
-    are those of no bytes. Extra columns are not read.
+    are those of no bytes. Repeated rows stay; a very long text is encoded whole; an empty table gives no rows. Extra
+    columns are not read.
     """
     small_batches(docs.sparkSession)
 
@@ -206,4 +208,5 @@ def bpe_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 of_bytes.append(hashlib.sha256(bpe.decode(packed)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -93,7 +93,7 @@ def loss_text(formatted: Column, spans: Column) -> Column:
 
 
 def chat_digests(formatted: DataFrame) -> DataFrame:
-    """Digests of what ``chat_format``'s rows say when they are read back."""
+    """Digests of what ``chat_format``'s rows say when they are read back: a row for each, none for none; long ones whole."""
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return formatted.select(
         "conv_id", "formatted", parse_chat(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")

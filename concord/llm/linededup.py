@@ -10,12 +10,15 @@ and a line goes if an earlier one, by (doc_id, line number), is equal to it or w
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm.common import SPACE, WORD, Held, cut
 
 MIN_WORDS, LEAF = 1, 32
+SHORT = 2000  # characters up to which an edit distance is cheap to find
 BROADCAST_ROWS = 200_000  # of 16-byte line hashes
 
 
@@ -52,29 +55,51 @@ def _sums(hashes: Column) -> Column:
     return F.aggregate(hashes, F.array(F.lit(0).cast("long")), lambda acc, h: F.concat(acc, F.array(F.element_at(acc, -1).bitwiseXOR(h))))
 
 
-def _with_holes(texts: DataFrame) -> DataFrame:
-    """``texts`` (.., line) with holes, array<struct<hole, content, longer>>: for each leaf the hash of what surrounds it,
-    and what it holds.
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``value``, which is found once a row, whatever the optimiser inlines."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _holes(line: Column) -> Column:
+    """array<struct<hole, content, longer>>: for each leaf the hash of what surrounds it, and what it holds.
 
     ``longer`` is false where the line is seen beside one with one character more, of whose leaf it has all but one. A
-    surrounding's hash is the sum of its leaves' hashes, so all of a line's are found in time that grows with its length.
+    surrounding's hash is the sum of its leaves' hashes, so that the whole line isn't read again for each leaf.
     """
-    rest = [c for c in texts.columns if c != "line"]
-    at = lambda xs, from_: F.transform(xs, lambda x, j: F.xxhash64(j + from_, x))
-    # beside a longer line, what follows a leaf stands one place earlier
-    cut = texts.select(*rest, F.length("line").alias("n"), _leaves(F.col("line")).alias("leaves"), _leaves(F.substr("line", F.lit(LEAF))).alias("later"))
-    hashed = cut.select(*rest, "n", "leaves", at(F.col("leaves"), F.lit(0)).alias("own"), at(F.col("later"), F.lit(1)).alias("moved"))
-    summed = hashed.select(*rest, "n", "leaves", "own", _sums(F.col("own")).alias("before"), _sums(F.col("moved")).alias("moved"))
-    key = lambda n, i, surrounding: F.xxhash64(n, i, surrounding).alias("hole")
-    total, moved = F.element_at("before", -1), F.element_at("moved", -1)
-    own = F.transform("leaves", lambda x, i: F.struct(key(F.col("n"), i, total.bitwiseXOR(F.get("own", i))), x.alias("content"), F.lit(True).alias("longer")))
+    at = lambda xs, first: F.transform(xs, lambda x, j: F.xxhash64(j + first, x))
+    key = lambda n, i, around: F.xxhash64(n, i, around).alias("hole")
+
+    def sums(c: Column) -> Column:
+        # beside a longer line, what follows a leaf stands one place earlier
+        hashed = F.struct(c["n"].alias("n"), c["leaves"].alias("leaves"), at(c["leaves"], F.lit(0)).alias("own"), at(c["later"], F.lit(1)).alias("moved"))
+        return _let(hashed, lambda h: _let(F.struct(h["n"].alias("n"), h["leaves"].alias("leaves"), h["own"].alias("own"), _sums(h["own"]).alias("before"), _sums(h["moved"]).alias("moved")), both))
+
+    def both(s: Column) -> Column:
+        total, moved = F.element_at(s["before"], -1), F.element_at(s["moved"], -1)
+        own = F.transform(s["leaves"], lambda x, i: F.struct(key(s["n"], i, total.bitwiseXOR(F.get(s["own"], i))), x.alias("content"), F.lit(True).alias("longer")))
+
+        def beside(i: Column) -> Column:
+            around = F.get(s["before"], i).bitwiseXOR(moved).bitwiseXOR(F.get(s["moved"], i))
+            content = F.coalesce(F.left(F.get(s["leaves"], i), F.lit(LEAF - 1)), F.lit(""))
+            return F.struct(key(s["n"] + 1, i, around), content.alias("content"), F.lit(False).alias("longer"))
+
+        return F.concat(own, F.transform(F.sequence(F.lit(0), F.floor(s["n"] / LEAF).cast("int")), beside))
+
+    return _let(F.struct(F.length(line).alias("n"), _leaves(line).alias("leaves"), _leaves(F.substr(line, F.lit(LEAF))).alias("later")), sums)
+
+
+def _within_one_edit(a: Column, b: Column) -> Column:
+    """Whether ``a`` and ``b`` are; long ones by their common start, which is found by halving."""
 
-    def beside(i: Column) -> Column:
-        around = F.get("before", i).bitwiseXOR(moved).bitwiseXOR(F.get("moved", i))
-        return F.struct(key(F.col("n") + 1, i, around), F.coalesce(F.left(F.get("leaves", i), F.lit(LEAF - 1)), F.lit("")).alias("content"), F.lit(False).alias("longer"))
+    def step(acc: Column, k: Column) -> Column:
+        more = acc + k
+        return F.when((more <= F.length(a)) & (more <= F.length(b)) & (F.left(a, more) == F.left(b, more)), more).otherwise(acc)
 
-    short = F.transform(F.sequence(F.lit(0), F.floor(F.col("n") / LEAF).cast("int")), beside)
-    return summed.select(*rest, F.concat(own, short).alias("holes"))
+    start = F.aggregate(F.array(*(F.lit(1 << k) for k in range(30, -1, -1))), F.lit(0), step)
+    after = lambda x, longer: F.substr(x, start + F.when(longer, 2).otherwise(1))
+    same = after(a, F.length(a) >= F.length(b)) == after(b, F.length(b) >= F.length(a))
+    close = F.abs(F.length(a) - F.length(b)) <= 1
+    return F.when(F.length(a) <= SHORT, F.levenshtein(a, b, 1) >= 0).otherwise(close & same)
 
 
 def _variants() -> Column:
@@ -102,7 +127,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, held: Held, min_words: int = M
     texts = lines_of(docs, min_words).join(wanted, "line_hash", "left_semi")
     texts = texts.groupBy("line_hash").agg(F.min(_at()).alias("first"), F.min("line").alias("line"))
     texts = held(texts)
-    holes = _with_holes(texts).select("line_hash", "first", F.explode("holes").alias("h")).select("line_hash", "first", "h.*")
+    holes = texts.select("line_hash", "first", F.explode(_holes(F.col("line"))).alias("h")).select("line_hash", "first", "h.*")
     holes = _shared(holes, "hole")
     variants = held(holes.select("line_hash", "first", "longer", F.explode(_variants()).alias("x")).select("line_hash", "first", "longer", "x.*"))
     place = F.struct(F.col("first").alias("first"), F.col("line_hash").alias("line_hash"))
@@ -111,7 +136,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, held: Held, min_words: int = M
     pairs = variants.join(earliest, ["variant", "replaced"]).select("line_hash", "first", other.alias("other")).where(F.col("other.first") < F.col("first"))
     pairs = pairs.select("line_hash", F.col("other.line_hash").alias("earlier")).distinct()
     a, b = texts.select("line_hash", F.col("line").alias("a")), texts.select(F.col("line_hash").alias("earlier"), F.col("line").alias("b"))
-    verified = pairs.join(a, "line_hash").join(b, "earlier").where(F.levenshtein("a", "b", 1) >= 0)
+    verified = pairs.join(a, "line_hash").join(b, "earlier").where(_within_one_edit(F.col("a"), F.col("b")))
     return verified.select("line_hash").distinct()
 
 

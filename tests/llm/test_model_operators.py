@@ -378,10 +378,27 @@ def test_search_is_exact(kind):
     for i in range(0, len(v), 40):
         want = sorted(((int(v[j] @ v[i]), int(ids[j])) for j in range(len(v)) if j != i), key=lambda x: (-x[0], x[1]))[:20]
         assert tree.search(v[i], int(ids[i]), 20) == want
+    assert (kind == "huge") != tree.exact and (len(v) < 2 * mtree.LEAF or tree.pages[-1].radii is not None)
     if kind == "clusters":
         assert tree.computed < 0.7 * len(v) * len(range(0, len(v), 40))
 
 
+def test_clusters_are_ruled_out_by_bounds():
+    """Of well-separated clusters most vectors are never computed; a bound from elsewhere saves more."""
+    rng = np.random.default_rng(11)
+    centers = rng.normal(size=(64, 16))
+    centers *= 900 / np.linalg.norm(centers, axis=1, keepdims=True)
+    v = np.rint(centers.repeat(128, 0) + rng.normal(size=(64 * 128, 16)) * 12).astype(np.int64)
+    ids = rng.permutation(len(v))
+    trees = [mtree.MTree(ids, v), mtree.MTree(ids, v)]
+    asked = range(0, len(v), 173)
+    floors = mtree._floors(ids[::173], v[::173], ids[::2], v[::2], 20)
+    for i, low in zip(asked, floors, strict=True):
+        want = sorted(((int(x), int(y)) for x, y in zip(v @ v[i], ids) if y != ids[i]), key=lambda x: (-x[0], x[1]))[:20]
+        assert trees[0].search(v[i], int(ids[i]), 20) == trees[1].search(v[i], int(ids[i]), 20, low) == want
+    assert trees[0].computed < 0.25 * len(v) * len(asked) and trees[1].computed <= trees[0].computed
+
+
 def test_top_k_edge_cases(spark):
     nan = float("nan")
     rows = [(0, [1.0, 2.0]), (1, [1.0, None]), (2, None), (3, [nan, 1.0]), (4, [0.5, 0.25]), (5, []), (None, [1.0, 1.0]), (6, [float("inf"), 0.0]), (7, [3.0])]
@@ -449,6 +466,14 @@ def test_bpe_refuses_ranks_without_merges():
         bpe.ByteBpe({**{bytes([i]): i for i in range(256)}, b"abc": 256}, ".")
 
 
+@pytest.mark.parametrize("kind, id", [("int", 3), ("string", "three"), ("long", None)])
+def test_bpe_digests_of_any_id(spark, kind, id):
+    frame = spark.createDataFrame([(id, "a b", 1), (id, None, 2)], f"doc_id {kind}, text string, n_tokens int")
+    rows = bpe.bpe_digests(frame, *vocabulary()).collect()
+    assert [r.doc_id for r in rows] == [id, id] and sorted(r.n_tokens for r in rows) == [0, 2]
+    assert bpe.bpe_digests(frame.limit(0), *vocabulary()).count() == 0
+
+
 def test_bpe_frames(spark):
     frame = spark.createDataFrame([(1, "hello world", "q"), (2, None, "q"), (3, "", "q"), (1, "hello world", "q")], TEXT + ", ids string")
     encoded = bpe.bpe_encode(frame, *vocabulary())

@@ -325,3 +325,15 @@ def test_native_plans(spark, sf_dir):
     for name in ("op8_license", "op9_mix", "op10_lines"):
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan, name
+
+
+def test_very_long_lines(spark):
+    """Lines of 200,000 characters that differ in one, and one that lacks a character."""
+    rng = random.Random(30)
+    base = "".join(rng.choices("abcdefgh ", k=200_000))
+    other = base[:170_000] + "#" + base[170_001:]
+    shorter = base[:123_456] + base[123_457:]
+    far = base[:10] + "##" + base[12:]
+    docs = [(1, base), (2, other), (3, shorter), (4, far), (5, "".join(rng.choices("abcdefgh ", k=200_000)))]
+    got = {r.doc_id: r.n_removed for r in linededup.line_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 0, 5: 0}
