@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concord.operators import blocking, labels, matcher, results, tuning, validate
-from concord.operators.features import pair_features
+from concord.operators.features import lookup_pairs, misplaced_pairs, pair_features
 from concord.operators.idf import document_frequency, smoothed_idf
 from concord.operators.records import check_ids, exploded_candidates, keyed_records
+from concord.operators.store import cut, scratch
 from concord.schema import CANDIDATE_COLUMNS, MATCH_COLUMNS, BlockingConfig
 from concord.sources import tsv
 
@@ -17,7 +18,8 @@ def generate_candidates(spark: SparkSession, root: str, output: str, split: str
     """Write the ranked candidate list of every record of source 1 of a split to ``output``."""
     records = keyed_records(check_ids(tsv.load_split(spark, root, split, normalize=False)))
     lists = blocking.candidate_lists(records, blocking.generate_candidates(records, config))
-    tsv.write_lists(lists, output, [tsv.source_path(root, split, s) for s in ("source1", "source2", "source3")])
+    sources = [tsv.source_path(root, split, s) for s in ("source1", "source2", "source3")]
+    tsv.write_lists(lists, output, sources, tsv.file_order(spark, sources[0]))
     return output
 
 
@@ -36,16 +38,20 @@ def generate_features(
     if tsv.is_stale(spark, f"{idf}/table", []):
         fit_idf(spark, root, idf, fit_split, config)
     table, n = tsv.load_idf(spark, idf, config)
-    pairs = exploded_candidates(tsv.read_lists(spark, candidates))
-    features = pair_features(pairs, records, table, n, config)
-    if features.where("candidate_source IS NULL OR candidate_source = 'source1'").limit(1).count():
-        raise ValueError("candidates must be records of source 2 or 3")
-    tsv.write_features(features, output, [candidates])
+    with scratch():
+        # both are read several times
+        pairs, stored = cut(exploded_candidates(tsv.read_lists(spark, candidates))), cut(records)
+        misplaced = misplaced_pairs(lookup_pairs(pairs, stored))
+        if found := misplaced.limit(3).collect():
+            raise ValueError(f"candidates must be records of source 2 or 3, of records of source 1: {[tuple(r) for r in found]}")
+        tsv.write_features(pair_features(pairs, stored, table, n, config), output, [candidates])
     return output
 
 
 def train(features: DataFrame, truth: DataFrame, path: str | None = None, per_class: int = 250_000, fraction: float = 0.2, max_iter: int = 160, seed: int = 42) -> tuple:
     """(model, TrainingSummary): fitted on a sample of the training pairs, the threshold tuned on held-out entities."""
+    if per_class < 1 or max_iter < 1 or seed < 0:
+        raise ValueError("per_class and max_iter must be positive, seed not negative")
     labeled = labels.check_truth(labels.label_pairs(features, truth, fraction))
     sample = labels.stratified_sample(labeled, per_class, seed).cache()
     model = matcher.fit(sample, max_iter, seed)
@@ -83,7 +89,7 @@ def infer(spark: SparkSession, root: str, candidates: str, features: str, model:
     report = validate.validation_report(matches, records, candidates=tsv.read_lists(spark, candidates))
     # prefixes of ids are a rule of the files' acceptance, not of the matches
     validate.raise_if_any(report.where("rule <> 'id_prefix'"))
-    tsv.write_lists(matches, output)
+    tsv.write_lists(matches, output, order=tsv.file_order(spark, sources[0]))
     matches.unpersist()
     return output
 

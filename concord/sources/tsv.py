@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from concord.operators.records import format_ids, normalize_records, parse_ids, union_sources
 from concord.schema import CANDIDATE_COLUMNS, MATCH_COLUMNS, SOURCE_COLUMNS, SOURCES, SPLITS, require_columns
 
-READ = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "mode": "FAILFAST", "multiLine": True, "encoding": "UTF-8"}
+READ = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "mode": "FAILFAST", "encoding": "UTF-8"}
 IDF_VERSION = 1
 
 
@@ -23,16 +23,26 @@ def source_path(root: str, split: str, source: str) -> str:
 
 
 def header(spark: SparkSession, path: str) -> list[str]:
-    return [c.removeprefix("\ufeff") for c in spark.read.options(**READ).csv(path).columns]
+    return [c.removeprefix("\ufeff") for c in spark.read.options(**READ, multiLine=True).csv(path).columns]
 
 
-def read_tsv(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
-    """All columns of a file as text, empty fields as empty text; rows of another length are an error."""
+def read_tsv(spark: SparkSession, path: str, wanted: list[str], multiline: bool = True, position: bool = False) -> DataFrame:
+    """All columns of a file as text, empty fields as empty text; rows of another length are an error.
+
+    Without ``multiline`` quoted fields hold no line ends and Spark splits the file. ``position`` adds a column by which
+    rows stand in the file's order.
+    """
     columns = header(spark, path)
     require_columns(columns, wanted)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    frame = spark.read.schema(schema).options(**READ, enforceSchema=True).csv(path)
-    return frame.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns))
+    frame = spark.read.schema(schema).options(**READ, enforceSchema=True, multiLine=multiline).csv(path)
+    place = [F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("position")] * position
+    return frame.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns), *place)
+
+
+def file_order(spark: SparkSession, path: str) -> DataFrame:
+    """entity_id and position of a source's rows."""
+    return read_tsv(spark, path, ["entity_id"], position=True).select("entity_id", "position")
 
 
 def read_source(spark: SparkSession, path: str, normalize: bool = True) -> DataFrame:
@@ -68,28 +78,51 @@ def guard_overwrite(output: str, inputs: list[str]) -> None:
         raise ValueError(f"{output} is one of the inputs")
 
 
-def write_tsv(frame: DataFrame, path: str, inputs: list[str] = ()) -> None:
-    """``frame`` as one file at ``path``: written beside it, then renamed, so that a reader never sees a part."""
+def write_tsv(frame: DataFrame, path: str, inputs: list[str] = (), order: str | None = None) -> None:
+    """``frame`` as one file at ``path``, in the order of a column that isn't written, if one is given.
+
+    Its tasks write parts beside it; these are joined and take the file's place by one rename, so that a reader sees the
+    old file or the new one, whole.
+    """
     guard_overwrite(path, list(inputs))
     spark = frame.sparkSession
     aside = f"{path}.{uuid.uuid4().hex}"
-    options = {"sep": "\t", "header": True, "emptyValue": "", "nullValue": "", "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    options = {"sep": "\t", "header": False, "emptyValue": "", "nullValue": "", "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target, folder = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(aside)
+    hadoop = jvm.org.apache.hadoop.fs
+    target, folder = hadoop.Path(path), hadoop.Path(aside)
     fs = target.getFileSystem(conf)
+    rows = frame if order is None else frame.orderBy(order).drop(order)
     try:
-        frame.coalesce(1).write.options(**options).csv(aside)
-        part = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{aside}/part-*.csv"))[0].getPath()
-        fs.delete(target, False)
-        if not fs.rename(part, target):
-            raise OSError(f"can't rename to {path}")
+        rows.write.options(**options).csv(aside)
+        whole = hadoop.Path(f"{aside}/whole")
+        out = fs.create(whole, True)
+        try:
+            out.write(bytearray("\t".join(rows.columns) + "\n", "utf-8"))
+            for part in sorted(str(x.getPath()) for x in fs.globStatus(hadoop.Path(f"{aside}/part-*.csv"))):
+                read = fs.open(hadoop.Path(part))
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(read, out, 1 << 16, False)
+                finally:
+                    read.close()
+        finally:
+            out.close()
+        rename = getattr(hadoop, "Options$Rename")
+        over = spark.sparkContext._gateway.new_array(rename, 1)
+        over[0] = rename.OVERWRITE
+        hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(whole), fs.makeQualified(target), over)
     finally:
         fs.delete(folder, True)
 
 
-def write_lists(lists: DataFrame, path: str, inputs: list[str] = ()) -> None:
+def write_lists(lists: DataFrame, path: str, inputs: list[str] = (), order: DataFrame | None = None) -> None:
+    """Lists (id, array of ids) as text, in the order of ``file_order`` if that is given."""
     ids, column = lists.columns[0], lists.columns[1]
-    write_tsv(lists.select(ids, format_ids(F.col(column)).alias(column)), path, inputs)
+    text = lists.select(ids, format_ids(F.col(column)).alias(column))
+    if order is None:
+        return write_tsv(text, path, inputs)
+    placed = text.join(order.select(F.col("entity_id").alias(ids), "position"), ids, "left")
+    write_tsv(placed.select(ids, column, "position"), path, inputs, "position")
 
 
 def write_features(features: DataFrame, path: str, inputs: list[str] = ()) -> None:

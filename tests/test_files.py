@@ -101,3 +101,19 @@ def test_from_files_to_files(spark, root, tmp_path_factory, capsys):
     assert linkage.accept(spark, root, f"{out}/test.tsv", broken).count() > 1
     open(broken, "w").write("id\tmatched_entity_ids\n")
     assert [r.rule for r in linkage.accept(spark, root, f"{out}/test.tsv", broken).collect()] == ["header"]
+
+
+def test_lists_keep_the_order_of_their_source(spark, tmp_path):
+    from concord.sources import tsv
+
+    ids = [f"S1-{(i * 37) % 101}" for i in range(101)]
+    source, out = str(tmp_path / "s1.tsv"), str(tmp_path / "lists.tsv")
+    with open(source, "w") as f:
+        f.write("entity_id\tbusiness_name\tbusiness_address\tcountry\n" + "".join(f"{i}\tn\ta\tc\n" for i in ids))
+    lists = spark.createDataFrame([(i, [f"S2-{i[3:]}"]) for i in sorted(ids)], "source1_entity_id string, candidate_entity_ids array<string>").repartition(7)
+    for _ in range(2):  # the second replaces the first
+        tsv.write_lists(lists, out, [source], tsv.file_order(spark, source))
+    with open(out) as f:
+        assert f.read() == "source1_entity_id\tcandidate_entity_ids\n" + "".join(f"{i}\tS2-{i[3:]}\n" for i in ids)
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["lists.tsv", "s1.tsv"]
+    assert tsv.read_tsv(spark, source, ["entity_id"], multiline=False).count() == 101
