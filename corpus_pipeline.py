@@ -12,25 +12,31 @@ from pyspark.sql import functions as F
 from concord.llm import bpe, linededup, mixing, probminhash, quality
 from concord.llm.common import cut, read
 from concord.llm.queries import vocabulary
+from concord.operators.store import discard, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality rules keep. Null and empty texts go; other columns stay."""
     return quality.quality_filter(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that an earlier one has; n_chars anew. Null texts stay."""
     return linededup.drop_repeated_lines(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies; texts without words stay. Other columns stay."""
     return probminhash.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; those without words go. Other columns stay."""
     return mixing.mix_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of each document's whole text and the digest of what they decode to; null text is empty."""
     path, pattern = vocabulary()
     ids = bpe.bpe_encode(docs.select("doc_id", "lang", "source", "text"), path, pattern, digest="decoded_sha256")
     return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
@@ -42,9 +48,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = cut(docs)
-    return docs
+    """All stages over documents. What a stage has written is deleted once the next one's rows are.
+
+    Null and empty texts fail the quality rules; repeated rows count as copies; an empty table gives no rows.
+    """
+    docs, before = read(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        with scratch() as kept:
+            docs = cut(stage(spark, docs, sf_dir))
+            kept.append(docs)
+        if before is not None:
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
