@@ -725,3 +725,28 @@ def test_pipeline_query(spark, sf_dir):
     frame = e.queries()["pipeline"](spark, sf_dir)
     assert frame.count() > 50 and {"doc_id", "n_tokens", "ids"} <= set(frame.columns)
     assert len([n for n in e.queries() if n.startswith("op")]) == 10
+
+
+def test_stages_with_odd_rows(spark):
+    """Nulls, empty texts, repeated rows, columns with names that operators use, an empty table."""
+    rng = random.Random(40)
+    text = lambda: "\n".join(" ".join("".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(12)) for _ in range(8))
+    some = text()
+    rows = [(i, text(), "en", None if i % 5 == 0 else f"s{i % 3}", 1, i, "x") for i in range(60)]
+    rows += [(100, None, "en", "s0", None, 1, "x"), (101, "", None, None, 0, 2, "x"), (None, text(), "en", "s1", 5, 3, None)]
+    rows += [(200, some, "en", "s2", 7, 4, "x")] * 2 + [(201, some, "en", "s2", 7, 4, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size int, node string")
+    for table in (docs, docs.limit(0)):
+        names = table.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, table, "").persist()
+            assert kept.columns == names, name
+            kept.count()
+            table = kept
+        last = corpus_pipeline.STAGES[-1][1](spark, table, "").collect()
+        assert len(last) == table.count()
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality_rules"](spark, docs, "")
+    assert {100, 101}.isdisjoint(r.doc_id for r in kept.collect()) and kept.count() == 64
+    single = stages["near_dedup"](spark, docs, "").where("doc_id IN (200, 201)").collect()
+    assert [r.doc_id for r in single] == [200]
