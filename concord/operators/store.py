@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -89,3 +90,14 @@ def scratch(*keep: DataFrame) -> Iterator[list[DataFrame]]:
                 _delete(df.sparkSession, path)
             elif _open:
                 _open[-1].append((df, path))
+
+
+@contextmanager
+def shared_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """A folder of its own beside the checkpoints, for files that the whole cluster reads; deleted at the end."""
+    _checkpoint_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir')}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        _delete(spark, path)

@@ -230,7 +230,7 @@ def dedup_max_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.passing_links(scored.unionByName(scored.withColumn("probability", F.col("probability") / 2)), THRESHOLD)
 
 
-def _matches(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
+def matches(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
     ids = fixtures.ground_truth(spark, sf_dir).select("source1_entity_id")
     return results.select_matches(ids, _scored(spark, sf_dir), THRESHOLD, limit)
 
@@ -240,11 +240,11 @@ def _as_text(lists: DataFrame) -> DataFrame:
 
 
 def submission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_text(_matches(spark, sf_dir))
+    return _as_text(matches(spark, sf_dir))
 
 
 def capped_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_text(_matches(spark, sf_dir, 2))
+    return _as_text(matches(spark, sf_dir, 2))
 
 
 def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,7 +276,7 @@ def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out pairs with the probability that boosted trees (20 rounds here) give them."""
-    features = _features(spark, sf_dir).cache()
+    features = cut(_features(spark, sf_dir))
     truth = fixtures.ground_truth(spark, sf_dir)
     model, _ = train(features, truth, max_iter=20)
     held = labels.label_pairs(features, truth).where("is_validation")

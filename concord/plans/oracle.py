@@ -238,3 +238,18 @@ UNION ALL SELECT 'unknown_target', source1_entity_id, candidate_entity_id FROM n
 ORACLE_SQL["pair_features"] = _with(
     "SELECT source1_entity_id, candidate_entity_id, candidate_source, " + ", ".join(f"{e} AS {n}" for n, e in _expressions().items()) + " FROM sets JOIN cos USING (source1_entity_id, candidate_entity_id)"
 )
+
+# what ``concord.plans.files`` writes and reads; files stand in the order of their ids' MD5
+_FILE = "(SELECT entity_id AS source1_entity_id, row_number() OVER (ORDER BY md5(entity_id)) AS line FROM ent WHERE source_name = 'source1')"
+_TEXT = [f"coalesce({c}, '') AS {c}" for c in ("business_name", "business_address", "country")]
+ORACLE_SQL |= {
+    "source_files": _with(f"SELECT source_name, entity_id, {', '.join(_TEXT)} FROM ent"),
+    "source_file_normalized": _with("SELECT entity_id, name AS business_name_normalized, address AS business_address_normalized FROM rec"),
+    "source_file_lines": _with(f"SELECT source1_entity_id AS entity_id, line FROM {_FILE}"),
+    "candidate_file": _with(f"SELECT source1_entity_id, candidate_entity_ids, line FROM ({_LISTS}) JOIN {_FILE} USING (source1_entity_id)"),
+    "candidate_file_pairs": ORACLE_SQL["candidate_pairs_from_lists"],
+    "match_file": _with(f"SELECT source1_entity_id, matched_entity_ids, line FROM ({_matches()}) JOIN {_FILE} USING (source1_entity_id)"),
+    "truth_file": _with("SELECT source1_entity_id, coalesce(array_to_string(ids, ','), '') AS matched_entity_ids, truth_count AS n_links FROM truth"),
+    "feature_file": ORACLE_SQL["pair_features"],
+    "idf_file": _with("SELECT field, feature, df, round(ln((1 + n) / (1 + df)) + 1, 6) AS idf, n AS n_records FROM freq CROSS JOIN total"),
+}

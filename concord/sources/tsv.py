@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concord.operators.records import format_ids, normalize_records, parse_ids, union_sources
-from concord.schema import CANDIDATE_COLUMNS, MATCH_COLUMNS, SOURCE_COLUMNS, SOURCES, SPLITS, require_columns
+from concord.schema import CANDIDATE_COLUMNS, MATCH_COLUMNS, PAIR_FEATURES, PAIR_IDS, SOURCE_COLUMNS, SOURCES, SPLITS, require_columns
 
 READ = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "mode": "FAILFAST", "encoding": "UTF-8"}
 IDF_VERSION = 1
@@ -125,15 +125,25 @@ def write_lists(lists: DataFrame, path: str, inputs: list[str] = (), order: Data
     write_tsv(placed.select(ids, column, "position"), path, inputs, "position")
 
 
+def _short(number: Column) -> Column:
+    """A number with eight significant digits, without trailing zeros."""
+    digits = F.regexp_replace(F.format_string("%.8g", number.cast("double")), r"(\.\d*?)0+(?=e|$)", "$1")
+    return F.regexp_replace(digits, r"\.(?=e|$)", "")
+
+
 def write_features(features: DataFrame, path: str, inputs: list[str] = ()) -> None:
-    """Pair features as Parquet; ``path`` must not be an input."""
+    """Pair features, tab-separated where ``path`` ends in .tsv, else Parquet; ``path`` must not be an input."""
+    if path.endswith(".tsv"):
+        return write_tsv(features.select(*PAIR_IDS, *(_short(F.col(c)).alias(c) for c in PAIR_FEATURES)), path, inputs)
     guard_overwrite(path, list(inputs))
     features.write.mode("overwrite").parquet(path)
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    from concord.schema import PAIR_FEATURES, PAIR_IDS
-
+    """What ``write_features`` wrote; features from text are doubles, and an error where one isn't a number."""
+    if path.endswith(".tsv"):
+        rows = read_tsv(spark, path, [*PAIR_IDS, *PAIR_FEATURES], multiline=False)
+        return rows.select(*PAIR_IDS, *(F.col(c).cast("double").alias(c) for c in PAIR_FEATURES))
     frame = spark.read.parquet(path)
     require_columns(frame.columns, [*PAIR_IDS, *PAIR_FEATURES])
     return frame

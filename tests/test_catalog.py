@@ -3,9 +3,11 @@
 import pytest
 from oracle import assert_same
 
-from concord.plans.catalog import QUERIES
+from concord.plans import catalog, files
 from concord.plans.oracle import ORACLE_SQL
 
+QUERIES = catalog.QUERIES | files.QUERIES
+
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, sf_dir, name):

@@ -9,7 +9,7 @@ from concord import cli
 from concord.operators.idf import document_frequency, smoothed_idf
 from concord.operators.records import format_ids, keyed_records
 from concord.plans import linkage
-from concord.schema import BlockingConfig
+from concord.schema import PAIR_FEATURES, PAIR_IDS, BlockingConfig
 from concord.sources import fixtures, tsv
 from concord.streaming.ingest import stream_source, write_records
 
@@ -47,6 +47,19 @@ def test_lists_come_back(spark, tmp_path):
         tsv.write_lists(lists, path, [path])
 
 
+def test_features_as_text(spark, tmp_path):
+    path, values = str(tmp_path / "features.tsv"), [0.0, 1.0, 12.0, 1 / 3, 1.25e-7, 120000000.0]
+    row = {f: values[i % len(values)] for i, f in enumerate(PAIR_FEATURES)}
+    frame = spark.createDataFrame([("S1-1", "S2-1", "source2", *row.values())], ", ".join([*(f"{c} string" for c in PAIR_IDS), *(f"{c} double" for c in PAIR_FEATURES)]))
+    tsv.write_features(frame, path)
+    head, line = open(path).read().splitlines()
+    assert head.split("\t") == [*PAIR_IDS, *PAIR_FEATURES] and line.split("\t")[3:9] == ["0", "1", "12", "0.33333333", "1.25e-07", "1.2e+08"]
+    got = tsv.read_features(spark, path).first()
+    assert all(abs(got[f] - x) <= 1e-8 * max(abs(x), 1) for f, x in row.items())
+    with pytest.raises(ValueError):
+        tsv.write_features(frame, path, [path])
+
+
 def test_idf_artifact(spark, sf_dir, tmp_path):
     records = keyed_records(fixtures.entities(spark, sf_dir))
     idf = smoothed_idf(document_frequency(records), 50)
