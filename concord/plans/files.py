@@ -103,15 +103,24 @@ def truth_file(spark: SparkSession, sf_dir: str) -> DataFrame:
         return cut(lists.select("source1_entity_id", format_ids(F.array_sort("matched_entity_ids")).alias("matched_entity_ids"), F.size("matched_entity_ids").alias("n_links")))
 
 
+def _through_file(spark: SparkSession, features: DataFrame) -> DataFrame:
+    """``features`` with six decimals, written as text and read back.
+
+    They are rounded before they are written: the file's eight significant digits hold six decimals of what is below 100
+    whole, while rounding eight digits again could go up twice.
+    """
+    kinds = dict(features.dtypes)
+    rounded = features.select(*PAIR_IDS, *(F.round(c, 6).alias(c) if kinds[c] == "double" else F.col(c) for c in PAIR_FEATURES))
+    with _folder(spark) as root:
+        tsv.write_features(rounded, f"{root}/features.tsv")
+        found = tsv.read_features(spark, f"{root}/features.tsv")
+        return cut(found.select(*PAIR_IDS, *(F.col(c).cast(kinds[c]) for c in PAIR_FEATURES)))
+
+
 def feature_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All features of all pairs, read from their text file: eight significant digits, here six decimals."""
+    """All features of all pairs, read from their text file, with six decimals."""
     records = keyed_records(fixtures.entities(spark, sf_dir))
-    with _folder(spark) as root:
-        features = pairwise.pair_features(cut(blocking.generate_candidates(records)), records)
-        tsv.write_features(features, f"{root}/features.tsv")
-        found, kinds = tsv.read_features(spark, f"{root}/features.tsv"), dict(features.dtypes)
-        rounded = [F.round(c, 6).alias(c) if kinds[c] == "double" else F.col(c).cast(kinds[c]) for c in PAIR_FEATURES]
-        return cut(found.select(*PAIR_IDS, *rounded))
+    return _through_file(spark, pairwise.pair_features(cut(blocking.generate_candidates(records)), records))
 
 
 def idf_file(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,3 +130,15 @@ def test_lists_keep_the_order_of_their_source(spark, tmp_path):
         assert f.read() == "source1_entity_id\tcandidate_entity_ids\n" + "".join(f"{i}\tS2-{i[3:]}\n" for i in ids)
     assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["lists.tsv", "s1.tsv"]
     assert tsv.read_tsv(spark, source, ["entity_id"], multiline=False).count() == 101
+
+
+def test_features_are_rounded_once(spark):
+    from concord.plans.files import _through_file
+
+    values = [0.0714284996, 0.9999995, 1 / 3, 0.1234564999, 0.0, 1.0]
+    row = [values[i % len(values)] if "similarity" in f else 12345678 for i, f in enumerate(PAIR_FEATURES)]
+    kinds = ["double" if "similarity" in f else "int" for f in PAIR_FEATURES]
+    schema = ", ".join([*(f"{c} string" for c in PAIR_IDS), *(f"{f} {k}" for f, k in zip(PAIR_FEATURES, kinds, strict=True))])
+    got = _through_file(spark, spark.createDataFrame([("S1-1", "S2-1", "source2", *row)], schema))
+    assert [t for _, t in got.dtypes][3:] == kinds
+    assert list(got.first())[3:] == [round(x, 6) for x in row]
