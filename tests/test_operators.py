@@ -165,3 +165,22 @@ def test_each_rule_is_reported(spark):
 def test_training_needs_both_labels(spark):
     with pytest.raises(ValueError):
         matcher.balanced(spark.createDataFrame([(1,), (1,)], "label int"))
+
+
+def test_cosines_in_many_cells(spark, monkeypatch):
+    from itertools import product
+
+    from concord.operators import features
+
+    monkeypatch.setattr(features, "BLOCK", 3)
+    monkeypatch.setattr(features, "PAIRS", 4)
+    monkeypatch.setattr(features, "RUN", 2)
+    terms = {f"S{1 + i % 2}-{i}": {(i % 3, 0): 0.5 + i, (7, 0): 0.25, (5, 1): 1.0 + i} for i in range(14)}
+    weights = spark.createDataFrame([(k, field, feature, w) for k, x in terms.items() for (feature, field), w in x.items()], "entity_id string, field int, feature int, w double")
+    ids = [(a, b) for a, b in product(terms, terms) if a < b and a[:2] != b[:2]]
+    ids += [ids[0], ids[0], ("S1-0", "S2-none"), ("S1-none", "S2-1")]  # a pair given again has its own row and the same cosines
+    pairs = spark.createDataFrame(ids, "source1_entity_id string, candidate_entity_id string")
+    of = lambda a, b, field: sum(w * terms.get(b, {}).get(k, 0.0) for k, w in terms.get(a, {}).items() if k[1] == field)
+    got = cosines(pairs, weights)
+    want = sorted((a, b, round(of(a, b, 0), 9), round(of(a, b, 1), 9)) for a, b in ids)
+    assert sorted((a, b, round(x, 9), round(y, 9)) for a, b, x, y in got.collect()) == want
