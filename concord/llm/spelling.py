@@ -2,9 +2,10 @@
 
 The tree holds contexts of up to DEPTH bytes whose next-byte distribution differs from that of their own suffix by more
 than a parameter count excuses (number of symbols times Kullback-Leibler divergence against a Schwarz penalty), with the
-suffixes and prefixes of those. Distributions are smoothed towards that of the suffix. Made into an
-automaton whose state is the longest suffix of what has been read, the tree spells words in lockstep, many places at
-once. A word is its bytes and an end sign.
+suffixes and prefixes of those. Distributions are smoothed towards that of the suffix. ``Spelling`` holds what was
+counted in the tree's contexts as sorted keys and finds the longest one of each place by looking it up, so it has no more
+cells than training has different sequences, and no limit; ``SuffixTree`` is the same tree as an automaton with a cell for
+each context and byte, whose state is the longest suffix of what has been read. A word is its bytes and an end sign.
 """
 
 from __future__ import annotations
@@ -12,13 +13,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 DEPTH = 4
 SMOOTH = 2  # weight of the shorter context's distribution for each different byte seen (Witten-Bell has 1)
-TABLE_ROWS, CELLS = 1 << 20, 1 << 26  # (context, byte) counts, and contexts times bytes, on the driver; deeper levels than fit are left out
 LONG = 1 << 20  # bytes of a word that is spelled by itself
 END, LANES = 10, 2048
 
@@ -29,6 +27,15 @@ def tape(texts: list[bytes]) -> np.ndarray:
     return np.frombuffer(gap + gap.join(texts) + gap, np.uint8)
 
 
+def _packed(symbols: np.ndarray) -> np.ndarray:
+    """For each symbol but the first DEPTH, the DEPTH symbols before it and itself, in one number."""
+    packed = symbols[: len(symbols) - DEPTH].astype(np.uint64)
+    for k in range(1, DEPTH + 1):
+        packed <<= np.uint64(8)
+        packed |= symbols[k : len(symbols) - DEPTH + k]
+    return packed
+
+
 def sequences(texts: list[bytes]) -> np.ndarray:
     """For each symbol of the texts, ends too, DEPTH symbols of context and the symbol, in one number."""
     some = [t for t in texts if t]
@@ -36,10 +43,7 @@ def sequences(texts: list[bytes]) -> np.ndarray:
     if not some:
         return out
     symbols = tape(some)
-    packed = symbols[: len(symbols) - DEPTH].astype(np.uint64)
-    for k in range(1, DEPTH + 1):
-        packed <<= np.uint64(8)
-        packed |= symbols[k : len(symbols) - DEPTH + k]
+    packed = _packed(symbols)
     return np.concatenate([out, packed[(symbols[DEPTH:] != END) | (symbols[DEPTH - 1 : -1] != END)]])
 
 
@@ -169,16 +173,102 @@ class SuffixTree:
         return sums[ends + 1] - sums[ends - [len(w) for w in words]]
 
 
-def grow(counts: DataFrame) -> SuffixTree:
-    """The tree of the sequences in ``counts`` (key, n; materialised), as deep as TABLE_ROWS counts allow."""
-    counts = counts.select(F.shiftrightunsigned("key", 8).alias("context"), F.col("key").bitwiseAND(255).alias("symbol"), "n")
-    rows, cells, levels = 0, 0, []
-    for d in range(DEPTH + 1):
-        level = counts.groupBy(F.col("context").bitwiseAND((1 << 8 * d) - 1).alias("context"), "symbol").agg(F.sum("n").alias("n"))
-        table = level.limit(TABLE_ROWS - rows + 1).toArrow()
-        cells += pc.count_distinct(table.column("context")).as_py() * (1 + pc.count_distinct(table.column("symbol")).as_py())
-        if d and (rows + table.num_rows > TABLE_ROWS or cells > CELLS):
-            break
-        rows += table.num_rows
-        levels.append((np.full(table.num_rows, d), *(table.column(c).to_numpy().astype(t) for c, t in (("context", np.uint64), ("symbol", np.int64), ("n", np.float64)))))
-    return SuffixTree.build(*(np.concatenate(x) for x in zip(*levels, strict=True)))
+def _find(among: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of ``x`` in a sorted array, and which of them are there."""
+    if not len(among):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(among, x), len(among) - 1)
+    return at, among[at] == x
+
+
+def _last(keys: np.ndarray, symbols: int) -> np.ndarray:
+    return keys & np.uint64((1 << 8 * symbols) - 1)
+
+
+@dataclass
+class Spelling:
+    """For each depth: sorted keys (context and symbol) and their counts, sorted contexts, their totals and kinds of symbols."""
+
+    levels: list[tuple[np.ndarray, ...]]
+
+    @classmethod
+    def build(cls, keys: np.ndarray, n: np.ndarray) -> Spelling:
+        """From distinct ``sequences`` and their counts."""
+        levels, kept = [], []
+        for d in range(DEPTH + 1):
+            some, at = np.unique(_last(keys, d + 1), return_inverse=True)
+            count = np.bincount(at, n, len(some))
+            contexts, row = np.unique(some >> np.uint64(8), return_inverse=True)
+            total, kinds = np.bincount(row, count, len(contexts)), np.bincount(row, minlength=len(contexts))
+            passed = np.ones(len(contexts), bool)
+            if d:
+                wider = levels[d - 1]
+                share = wider[1][_find(wider[0], _last(some, d))[0]] / wider[3][_find(wider[2], _last(some >> np.uint64(8), d - 1))[0]]
+                divergence = np.bincount(row, count * (np.log(count / total[row]) - np.log(share)), len(contexts))
+                passed = divergence > 0.5 * kinds * np.log(total)
+            levels.append((some, count, contexts, total, kinds))
+            kept.append(passed)
+        for d in range(DEPTH, 1, -1):  # with a context, its suffix and its prefix
+            own = levels[d][2][kept[d]]
+            for other in (_last(own, d - 1), own >> np.uint64(8)):
+                kept[d - 1][_find(levels[d - 1][2], other)[0]] = True
+        out = []
+        for (some, count, contexts, total, kinds), k in zip(levels, kept, strict=True):
+            rows = k[_find(contexts, some >> np.uint64(8))[0]] if len(some) else np.zeros(0, bool)
+            out.append((some[rows], count[rows], contexts[k], total[k], kinds[k]))
+        return cls(out)
+
+    def _log10(self, sequences: np.ndarray) -> np.ndarray:
+        each, back = np.unique(sequences, return_inverse=True)
+        keys, count, _, total, _ = self.levels[0]
+        at, there = _find(keys, _last(each, 1))
+        p = 1.0 + (np.where(there, count[at], 0.0) if len(keys) else 0.0)
+        p = np.broadcast_to(p / (256 + total.sum()), len(each)).copy()
+        live = np.arange(len(each))
+        for d in range(1, DEPTH + 1):
+            keys, count, contexts, total, kinds = self.levels[d]
+            context, known = _find(contexts, _last(each[live] >> np.uint64(8), d))
+            live, context = live[known], context[known]
+            if not len(live):
+                break
+            at, there = _find(keys, _last(each[live], d + 1))
+            more = SMOOTH * kinds[context]
+            p[live] = (np.where(there, count[at], 0.0) + more * p[live]) / (total[context] + more)
+        return np.log10(p)[back]
+
+    def spell(self, words: list[bytes]) -> np.ndarray:
+        """The log10 probability of each word's spelling, its end too."""
+        out, some, held = np.zeros(len(words)), [], 0
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                out[i] = self._one(w)
+                continue
+            some.append(i)
+            held += len(w) + DEPTH
+            if held > LONG:
+                out[some] = self._together([words[j] for j in some])
+                some, held = [], 0
+        if some:
+            out[some] = self._together([words[j] for j in some])
+        return out
+
+    def _together(self, words: list[bytes]) -> np.ndarray:
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(sizes + DEPTH) - (sizes + DEPTH)
+        sums = np.concatenate([[0.0], np.cumsum(self._log10(_packed(tape(words))))])
+        return sums[starts + sizes + 1] - sums[starts]  # an end sign after each is its own, the others are only context
+
+    def _one(self, word: bytes) -> float:
+        """A word's spelling piece by piece, in memory that doesn't grow with it."""
+        total, lead, end = 0.0, bytes([END]) * DEPTH, bytes([END])
+        for at in range(0, len(word), LONG):
+            piece = word[at : at + LONG] + (end if at + LONG >= len(word) else b"")
+            total += float(self._log10(_packed(np.frombuffer(lead + piece, np.uint8))).sum())
+            lead = (lead + piece)[-DEPTH:]
+        return total
+
+
+def grow(counts: DataFrame) -> Spelling:
+    """The tree of all sequences in ``counts`` (key, n). It is as large as training's words have different sequences."""
+    table = counts.select("key", "n").toArrow()
+    return Spelling.build(table.column("key").to_numpy().astype(np.uint64), table.column("n").to_numpy().astype(np.float64))

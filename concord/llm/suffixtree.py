@@ -362,7 +362,7 @@ def _spellings(known: DataFrame, bits: int) -> DataFrame:
     return known.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _scores(row: dict, bits: int, tokens: int, kinds: int, tree: spelling.SuffixTree, penalty: float) -> tuple[Grams, dict[str, np.ndarray]]:
+def _scores(row: dict, bits: int, tokens: int, kinds: int, tree: spelling.Spelling, penalty: float) -> tuple[Grams, dict[str, np.ndarray]]:
     """Of each symbol: whether training knows it, its base score, its score, how much of that is spelling, its state's depth."""
     g = _Counted(row, bits, DEPTH + 1)
     n = g.total[0][g.at[0]]
@@ -421,7 +421,7 @@ def score(docs: DataFrame, penalty: float = 0.5) -> DataFrame:
             with Held() as held:
                 words = held(_spellings(known, bits))
                 kinds = (words.where(F.col("key").bitwiseAND(255) == spelling.END).agg(F.sum("n")).first()[0] or 0) + (tokens > 0)
-                tree = spark.sparkContext.broadcast(spelling.grow(words))  # of at most spelling.CELLS probabilities
+                tree = spark.sparkContext.broadcast(spelling.grow(words))  # sparse: a count for each sequence of its contexts
 
     def run(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in some:

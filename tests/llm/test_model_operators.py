@@ -234,6 +234,22 @@ def test_order_and_spelling_count(spark, sf_dir):
     assert got[plausible].n_known == got[noise].n_known == 1 and got[plausible].score > got[noise].score + 0.2
 
 
+def test_spellings_are_whole_at_any_size(spark, monkeypatch):
+    for limit in ("TABLE_ROWS", "CELLS"):  # what the tree was cut at
+        monkeypatch.setattr(spelling, limit, 50, raising=False)
+    rng = random.Random(8)
+    words = ["".join(rng.choices(["the", "xab1", "yab2", "bee", "been", "ö"], k=rng.randint(0, 9))).encode() for _ in range(900)]
+    keys, n = np.unique(spelling.sequences(words), return_counts=True)
+    tree = spelling.grow(spark.createDataFrame(list(zip(keys.tolist(), n.tolist(), strict=True)), "key long, n long"))
+    odd = [*words, b"", b"zzz", b"thz\xff", b"xab1yab2" * 40]
+    want = small_tree(words).spell(odd)
+    assert np.allclose(tree.spell(odd), want, atol=1e-3)
+    monkeypatch.setattr(spelling, "LONG", 7)
+    assert np.allclose(tree.spell(odd), want, atol=1e-3)
+    none = spelling.Spelling.build(np.zeros(0, np.uint64), np.zeros(0))
+    assert np.allclose(none.spell([b"ab", b""]), [-3 * np.log10(256), -np.log10(256)])
+
+
 # near duplicates
 
 
