@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm import spelling
-from concord.llm.common import Held, small_batches
-from concord.operators.store import cut_dealt, release
+from concord.llm.common import small_batches
+from concord.operators.store import cut_dealt, discard
 
 DEPTH = 2
 SMOOTH = 2  # weight of the shorter context's distribution for each different follower (Witten-Bell has 1)
@@ -405,7 +405,6 @@ def score(docs: DataFrame, penalty: float = 0.5) -> DataFrame:
     spark = docs.sparkSession
     tables = int(spark.conf.get("spark.sql.shuffle.partitions"))
     batches = cut_dealt(pack_texts(docs.select("doc_id", "text")).repartition(tables, "batch"))
-    release(spark)
     tokens, symbols = batches.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()
     bits = min(63, max(symbols, 1).bit_length() + 16)
     parts = max(tables, -(-symbols // PART))
@@ -414,14 +413,13 @@ def score(docs: DataFrame, penalty: float = 0.5) -> DataFrame:
     # dealt by batch once; replies come to where batches are
     known = batches.withColumn("replies", F.array().cast("array<array<struct<what:string,part:long,reply:binary>>>"))
     for r in range(DEPTH + 1):
-        replies = cut_dealt(_round(known, r, bits, parts, tokens, penalty))
-        release(spark)  # what was asked isn't needed any more
+        replies = cut_dealt(_round(known, r, bits, parts, tokens, penalty))  # what was asked goes with its shuffle files
         known = known.join(replies.select("batch", F.col("replies").alias("more")), "batch", "left").withColumn("replies", F.concat("replies", F.array_compact(F.array("more")))).drop("more")
         if r == 0:
-            with Held() as held:
-                words = held(_spellings(known, bits))
-                kinds = (words.where(F.col("key").bitwiseAND(255) == spelling.END).agg(F.sum("n")).first()[0] or 0) + (tokens > 0)
-                tree = spark.sparkContext.broadcast(spelling.grow(words))  # sparse: a count for each sequence of its contexts
+            words = cut_dealt(_spellings(known, bits))
+            kinds = (words.where(F.col("key").bitwiseAND(255) == spelling.END).agg(F.sum("n")).first()[0] or 0) + (tokens > 0)
+            tree = spark.sparkContext.broadcast(spelling.grow(words))  # sparse: a count for each sequence of its contexts
+            discard(words)
 
     def run(some: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in some:

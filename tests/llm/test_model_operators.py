@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -168,6 +169,27 @@ def _here(pieces, frame, docs):
         yield held.done(number, pa.int64())
 
 
+def test_each_step_lets_go_of_its_shuffle_files(spark, monkeypatch):
+    """Even while the tables that they were made for are still referred to."""
+    blocks = lambda: {b for b in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+    cut, tables, left = suffixtree.cut_dealt, [], []
+
+    def watched(df):
+        tables.append(df)
+        before, out = blocks(), cut(df)
+        for _ in range(50):  # files are deleted in the background
+            if not blocks() - before:
+                break
+            time.sleep(0.1)
+        left.append(len(blocks() - before))
+        return out
+
+    monkeypatch.setattr(suffixtree, "cut_dealt", watched)
+    docs = invented(random.Random(6), 60)
+    assert len(suffixtree.score(spark.createDataFrame(docs, TEXT)).collect()) == len(docs)
+    assert len(left) >= suffixtree.DEPTH + 2 and not any(left)
+
+
 def test_an_empty_tree_scores_otherwise(spark):
     docs = invented(random.Random(4), 80)
     frame = spark.createDataFrame(docs, TEXT)
