@@ -437,6 +437,29 @@ def test_clusters_are_ruled_out_by_bounds():
     assert trees[0].computed < 0.25 * len(v) * len(asked) and trees[1].computed <= trees[0].computed
 
 
+@pytest.mark.parametrize("kind", ["random", "ties", "huge", "repeated"])
+def test_blocks_of_queries_share_products(kind):
+    """Queries of a block meet a page in one product a round at most, not in one each; with and without bounds from elsewhere."""
+    rng = np.random.default_rng(13)
+    v = {"random": rng.integers(-40, 40, (4000, 32)), "ties": rng.integers(0, 2, (3000, 3)), "huge": rng.integers(-(2**28), 2**28, (600, 4)), "repeated": rng.integers(-9, 9, (40, 8)).repeat(50, 0)}[kind].astype(np.int64)
+    ids = rng.permutation(len(v))
+    asked = np.arange(0, len(v), len(v) // 200)
+    want = []
+    for row, i in enumerate(asked.tolist()):
+        scores = v @ v[i]
+        order = np.lexsort((ids, -scores))
+        want += [(row, int(ids[j]), int(scores[j])) for j in order[ids[order] != ids[i]][:20]]
+    tree = mtree.MTree(ids, v)
+    leaves = sum(p.radii is None for p in tree.pages)
+    for floors in (np.full(len(asked), -np.inf), mtree._floors(ids[asked], v[asked], ids[::3], v[::3], 20)):
+        tree.products = 0
+        rows, found, scores = tree.search_block(v[asked], ids[asked], 20, floors)
+        assert list(zip(rows.tolist(), found.tolist(), scores.tolist(), strict=True)) == want
+        assert tree.products <= leaves * (1 + math.ceil(math.log(leaves, 4))) < len(asked) * leaves
+    assert [len(x) for x in tree.search_block(v[:0], ids[:0], 20, np.zeros(0))] == [0, 0, 0]
+    assert [len(x) for x in mtree.MTree(ids[:5], v[:5, :0]).search_block(v[:1], ids[:1], 20, np.full(1, -np.inf))] == [4, 4, 4]
+
+
 def test_top_k_edge_cases(spark):
     nan = float("nan")
     rows = [(0, [1.0, 2.0]), (1, [1.0, None]), (2, None), (3, [nan, 1.0]), (4, [0.5, 0.25]), (5, []), (None, [1.0, 1.0]), (6, [float("inf"), 0.0]), (7, [3.0])]
