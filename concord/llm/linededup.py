@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm.common import SPACE, WORD, Held, cut
+from concord.operators.store import cut_dealt, scratch
 
 MIN_WORDS, LEAF = 1, 32
 SHORT = 2000  # characters up to which an edit distance is cheap to find
@@ -126,7 +127,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, held: Held, min_words: int = M
         wanted = F.broadcast(wanted)
     texts = lines_of(docs, min_words).join(wanted, "line_hash", "left_semi")
     texts = texts.groupBy("line_hash").agg(F.min(_at()).alias("first"), F.min("line").alias("line"))
-    texts = held(texts)
+    texts = cut_dealt(texts)
     holes = texts.select("line_hash", "first", F.explode(_holes(F.col("line"))).alias("h")).select("line_hash", "first", "h.*")
     holes = _shared(holes, "hole")
     variants = held(holes.select("line_hash", "first", "longer", F.explode(_variants()).alias("x")).select("line_hash", "first", "longer", "x.*"))
@@ -144,10 +145,13 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, pos, line_hash) of the lines that go."""
     each = lines_of(docs.select("doc_id", "text"), min_words)
     seen = each.select("line_hash", _at().alias("at"), _half_keys(F.col("line")).alias("halves"))
-    with Held() as held:
-        lines = held(seen.groupBy("line_hash").agg(F.min("at").alias("first"), F.max("at").alias("final"), F.min("halves").alias("halves")))
+    # lines and texts are written: each plan that reads a persisted table holds the plans of all that this was made from,
+    # as often as they were read there, and the driver spells them out again after each of its stages
+    with scratch() as kept, Held() as held:
+        lines = cut_dealt(seen.groupBy("line_hash").agg(F.min("at").alias("first"), F.max("at").alias("final"), F.min("halves").alias("halves")))
         near = near_lines(docs.select("doc_id", "text"), lines, held, min_words).withColumn("near", F.lit(True))
         marked = cut(lines.join(near, "line_hash", "left").where("near or first < final").select("line_hash", F.when(F.col("near").isNull(), F.col("first")).alias("stays")))
+        kept.append(marked)
     found = each.select("doc_id", "pos", "line_hash").join(marked, "line_hash")
     gone = F.col("stays").isNull() | ~F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) | (F.col("pos") != F.col("stays.pos"))
     return found.where(gone).select("doc_id", "pos", "line_hash")

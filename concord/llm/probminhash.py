@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.llm.common import Held, cut, small_batches
+from concord.operators.store import cut_dealt, scratch
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 4  # a pair shares no band with probability 7e-10 at 0.8, 6e-4 at 0.64, the least that weights make of it
@@ -377,8 +378,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "log")
     docs = docs.select("doc_id", "text")
     signed = sign(docs, weights)
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_rows"), F.max("keys").alias("keys"), F.max("sketch").alias("sketch"))
-    with Held() as held:
-        nodes = held(nodes)
+    with scratch() as kept, Held() as held:
+        nodes = cut_dealt(nodes)  # written, so that the plans that read it don't hold its own
         each = nodes.select(F.explode("keys").alias("key"), "node")
         shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         buckets = held(each.join(shared, "key"))
@@ -389,6 +390,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "log")
         of_class = grouped.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("no"), F.col("first").alias("first"), F.col("node").alias("node"))).alias("x"))
         of_class = of_class.select("label", F.col("x.first").alias("class_id"), F.col("x.node").alias("keeper"))
         table = cut(grouped.join(of_class, "label").select("node", "class_id", "keeper", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_rows"))
+        kept.append(table)
     rows = docs.select("doc_id", F.when(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5("text"))).alias("node"))
     return rows, table
 

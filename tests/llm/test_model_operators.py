@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from concord.llm import bpe, mixing, mtree, spelling, suffixtree, warc
+from concord.llm import bpe, linededup, mixing, mtree, spelling, suffixtree, warc
 from concord.llm import probminhash as pm
 from concord.llm.queries import QUERIES, vocabulary
 
@@ -811,3 +811,19 @@ def test_stages_with_odd_rows(spark):
     assert {100, 101}.isdisjoint(r.doc_id for r in kept.collect()) and kept.count() == 64
     single = stages["near_dedup"](spark, docs, "").where("doc_id IN (200, 201)").collect()
     assert [r.doc_id for r in single] == [200]
+
+
+def test_plans_of_dedup_hold_no_plans_of_plans(spark, sf_dir, monkeypatch):
+    """A plan that reads persisted tables holds theirs, which the driver spells out after each stage: they mustn't nest."""
+    docs, nested = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for module in (linededup, pm):
+
+        def counted(df, cut=module.cut):
+            nested.append(df._jdf.queryExecution().toString().count("InMemoryRelation"))
+            return cut(df)
+
+        monkeypatch.setattr(module, "cut", counted)
+    assert linededup.drop_repeated_lines(docs).count() == docs.count()
+    lines, nested = max(nested), []
+    assert 0 < pm.keep_one(docs).count() < docs.count()
+    assert lines <= 10 and max(nested) <= 30
