@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.llm.common import Held, cut, small_batches
-from concord.operators.store import cut_dealt, scratch
+from concord.llm.common import cut, small_batches
+from concord.operators.store import cut_dealt, cut_freed, discard, scratch
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 4  # a pair shares no band with probability 7e-10 at 0.8, 6e-4 at 0.64, the least that weights make of it
@@ -204,37 +204,40 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return _shingles(texts).groupBy("node").agg(F.max("shingles").alias("shingles"))
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float, held: Held) -> DataFrame:
-    """The rows (a, b) of ``pairs`` whose texts' shingles have at least the threshold in common."""
-    wanted = held(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    sets = held(_sets(docs, nodes, wanted))
-    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
-    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    joined = pairs.join(a, "a").join(b, "b")
-    return joined.where(both >= threshold * (F.size("of_a") + F.size("of_b") - both) - 1e-9).select("a", "b")
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The rows (a, b) of ``pairs`` (stored) whose texts' shingles have at least the threshold in common; stored."""
+    with scratch() as kept:
+        wanted = cut_freed(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        sets = cut_freed(_sets(docs, nodes, wanted))
+        a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
+        b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
+        both = F.size(F.array_intersect("of_a", "of_b"))
+        joined = pairs.join(a, "a").join(b, "b")
+        kept.append(cut_freed(joined.where(both >= threshold * (F.size("of_a") + F.size("of_b") - both) - 1e-9).select("a", "b")))
+    return kept[0]
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) of the nodes of ``links`` (a, b): the least node that each is connected to.
+    """(node, label) of the nodes of ``links`` (a, b): the least node that each is connected to; stored.
 
     Each round gives a node the least label around it and then that label's own label; chains halve, and labels are
     written to the checkpoint folder between rounds.
     """
-    with Held() as held:
-        both = held(links.select("a", "b").union(links.select("b", "a")).distinct())
-        labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label"))
+    with scratch() as kept:
+        both = cut_freed(links.select("a", "b").union(links.select("b", "a")).distinct())
+        now = cut_freed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
         while True:
-            with Held() as step:
-                labels = step(labels)
-                around = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("around"))
-                near = labels.join(around, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "around").alias("near"))
-                near = step(near)
-                up = near.select(F.col("node").alias("__up"), F.col("near").alias("__label"))
-                new = cut(near.join(up, F.col("near") == F.col("__up"), "left").select("node", F.coalesce("__label", "near").alias("label"), "old"))
-            labels = new.select("node", "label")
+            labels = now.select("node", "label")
+            around = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("around"))
+            near = cut_freed(labels.join(around, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "around").alias("near")))
+            up = near.select(F.col("node").alias("__up"), F.col("near").alias("__label"))
+            new = cut_freed(near.join(up, F.col("near") == F.col("__up"), "left").select("node", F.coalesce("__label", "near").alias("label"), "old"))
+            discard(now)
+            discard(near)
             if new.where("label != old").isEmpty():
-                return labels
+                kept.append(new)
+                return new.select("node", "label")
+            now = new
 
 
 def _least_alike(threshold: float) -> float:
@@ -289,10 +292,10 @@ def _groups(table: pa.Table) -> tuple[list[bytes], np.ndarray]:
 
 def _unresolved(nodes: DataFrame, buckets: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """(key, node, label) of nodes whose signature is like that of a node of another component in their bucket."""
-    member = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    member = cut_freed(buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
     # the one pair of a bucket of two was a star's
     several = member.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("n > 2 and x < y").select("key")
-    dealt = _blocks(member.join(several, "key", "left_semi").join(nodes.select("node", "sketch"), "node"))
+    dealt = _blocks(cut_freed(member.join(several, "key", "left_semi").join(nodes.select("node", "sketch"), "node")))
     least = _least_alike(threshold)
 
     def alike(table: pa.Table) -> pa.Table:
@@ -347,7 +350,7 @@ def _joining(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
                     group[group == group[y]] = group[x]
         return pa.table({"a": pa.array([p[0] for p in found], pa.binary()), "b": pa.array([p[1] for p in found], pa.binary())})
 
-    return _blocks(members.join(sets, "node")).groupBy("key", "i", "j").applyInArrow(links, "a binary, b binary").distinct()
+    return _blocks(cut_freed(members.join(sets, "node"))).groupBy("key", "i", "j").applyInArrow(links, "a binary, b binary").distinct()
 
 
 def _links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -356,17 +359,18 @@ def _links(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, threshold: flo
     After the stars come the buckets that still hold several components: their nodes that are like one of another
     component meet in blocks, where sets are compared and only the links that join components leave.
     """
-    with Held() as held:
-        links = cut(_verified(docs, nodes, cut(_alike(nodes, _stars(buckets), threshold)), threshold, held))
-        labels = components(links)
-        rest = cut(_unresolved(nodes, buckets.select("key", "node"), labels, threshold))
+    links = _verified(docs, nodes, cut_freed(_alike(nodes, _stars(buckets), threshold)), threshold)
+    labels = components(links)
+    with scratch() as kept:
+        rest = cut_freed(_unresolved(nodes, buckets.select("key", "node"), labels, threshold))
         if rest.isEmpty():
             return links, labels
-        more = cut(_joining(rest, _sets(docs, nodes, held(rest.select("node").distinct())), threshold))
-        if more.isEmpty():
-            return links, labels
-        links = links.union(more)
-        return links, components(links)
+        more = cut_freed(_joining(rest, _sets(docs, nodes, cut_freed(rest.select("node").distinct())), threshold))
+        kept.append(more)
+    if more.isEmpty():
+        return links, labels
+    links = links.union(more)
+    return links, components(links)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "log") -> tuple[DataFrame, DataFrame]:
@@ -378,15 +382,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "log")
     docs = docs.select("doc_id", "text")
     signed = sign(docs, weights)
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_rows"), F.max("keys").alias("keys"), F.max("sketch").alias("sketch"))
-    with scratch() as kept, Held() as held:
-        nodes = cut_dealt(nodes)  # written, so that the plans that read it don't hold its own
+    # tables that are read again are written, not persisted: plans that read a written one don't hold its own plan, and a
+    # persisted table made from a dealt one isn't known again where a plan reads it twice, so it was made anew each time
+    with scratch() as kept:
+        nodes = cut_dealt(nodes)
         each = nodes.select(F.explode("keys").alias("key"), "node")
         shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        buckets = held(each.join(shared, "key"))
+        buckets = cut_freed(each.join(shared, "key"))
         links, labels = _links(docs, nodes, buckets, threshold)
         degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
         linked = labels.join(degree, "node")
-        grouped = held(nodes.select("node", "first", "n_rows").join(linked, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        grouped = cut_freed(nodes.select("node", "first", "n_rows").join(linked, "node", "left").withColumn("label", F.coalesce("label", "node")))
         of_class = grouped.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("no"), F.col("first").alias("first"), F.col("node").alias("node"))).alias("x"))
         of_class = of_class.select("label", F.col("x.first").alias("class_id"), F.col("x.node").alias("keeper"))
         table = cut(grouped.join(of_class, "label").select("node", "class_id", "keeper", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_rows"))

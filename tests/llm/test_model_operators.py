@@ -827,3 +827,30 @@ def test_plans_of_dedup_hold_no_plans_of_plans(spark, sf_dir, monkeypatch):
     lines, nested = max(nested), []
     assert 0 < pm.keep_one(docs).count() < docs.count()
     assert lines <= 10 and max(nested) <= 30
+
+
+def test_near_dedup_lets_go_of_its_shuffle_files(spark, sf_dir, monkeypatch):
+    """Before links are joined those of all earlier steps have gone, and the bands were dealt once."""
+    blocks = lambda: {b for b in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split() if b.startswith("shuffle_")}
+    components, stars, left, again = pm.components, pm._stars, [], []
+
+    def watched(links):
+        for _ in range(50):  # files are deleted in the background
+            if not blocks() - before:
+                break
+            time.sleep(0.1)
+        left.append(len(blocks() - before))
+        return components(links)
+
+    def planned(buckets):
+        pairs = stars(buckets)
+        again.append(pairs._jdf.queryExecution().executedPlan().toString().count("Generate"))
+        return pairs
+
+    monkeypatch.setattr(pm, "components", watched)
+    monkeypatch.setattr(pm, "_stars", planned)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = blocks()
+    tables = pm.classes(docs)
+    assert tables[0].count() == docs.count() and left and again == [0]
+    assert max(left) <= 2  # of the one number that counting rows for a broadcast leaves
