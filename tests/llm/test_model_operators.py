@@ -854,3 +854,14 @@ def test_near_dedup_lets_go_of_its_shuffle_files(spark, sf_dir, monkeypatch):
     tables = pm.classes(docs)
     assert tables[0].count() == docs.count() and left and again == [0]
     assert max(left) <= 2  # of the one number that counting rows for a broadcast leaves
+
+
+def test_near_dedup_stage_persists_nothing(spark, sf_dir, monkeypatch):
+    """A persisted table keeps the shuffle files that it was made from, which are disk for as long as the stage runs."""
+    kept, components = [], pm.components
+    persistent = lambda: {*spark.sparkContext._jsc.getPersistentRDDs()}
+    before = persistent()
+    monkeypatch.setattr(pm, "components", lambda links: kept.append(persistent() - before) or components(links))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert 0 < dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, sf_dir).count() < docs.count()
+    assert kept and not any(kept)
